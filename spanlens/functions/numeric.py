@@ -25,24 +25,42 @@ def exact_round(value: Column | str, digits: int) -> Column:
     differently from a rounding of the stored value. The product with 10**digits is split into its
     rounded part and its exact error, which decides the direction.
     """
-    x = col(value).cast("double")
     scale = float(10**digits)
+    if isinstance(value, str):
+        x = f"CAST(`{value}` AS DOUBLE)"
+        return F.expr(_ROUND_TEXT.format(x=x, scale=f"{scale:.1f}D", **_scale_parts(scale)))
+    x = value.cast("double")
+    parts = {k: F.lit(float(v[:-1])) for k, v in _scale_parts(scale).items()}
     head = F.lit(_SPLIT) * x
     high = head - (head - x)
     low = x - high
-    scale_head = _SPLIT * scale
-    scale_high = scale_head - (scale_head - scale)
-    scale_low = scale - scale_high
     product = x * F.lit(scale)
-    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    error = ((high * parts["sh"] - product) + high * parts["sl"] + low * parts["sh"]) + low * parts["sl"]
     base = F.floor(product).cast("double")
     side = (product - base - F.lit(0.5)) + error
     up = (side > 0) | ((side == 0) & ((base % 2) != 0))
-    # A tiny negative error just below a whole product must not round twice: base stays the floor of
-    # the rounded product, and side is then near -0.5, which keeps it.
     return F.when(x.isNotNull(), (base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
 
 
+def _scale_parts(scale: float) -> dict[str, str]:
+    head = _SPLIT * scale
+    high = head - (head - scale)
+    return {"sh": f"{high!r}D", "sl": f"{scale - high!r}D"}
+
+
+# The same arithmetic as SQL text, for plain column names: one parsed expression instead of many calls.
+_HIGH = "(({k} * {{x}}) - (({k} * {{x}}) - {{x}}))".format(k=f"{_SPLIT:.1f}D")
+_PROD = "({x} * {scale})"
+_LOW = "({x} - " + _HIGH + ")"
+_ERR = f"((({_HIGH} * {{sh}} - {_PROD}) + {_HIGH} * {{sl}} + {_LOW} * {{sh}}) + {_LOW} * {{sl}})"
+_BASE = f"CAST(floor({_PROD}) AS DOUBLE)"
+_SIDE = f"(({_PROD} - {_BASE} - 0.5D) + {_ERR})"
+_ROUND_TEXT = (
+    f"CASE WHEN {{x}} IS NOT NULL THEN ({_BASE} + CASE WHEN {_SIDE} > 0D OR ({_SIDE} = 0D AND ({_BASE} % 2D) != 0D) "
+    "THEN 1D ELSE 0D END) / {scale} END"
+)
+
+
 def half_even(value: Column) -> Column:
     """Nearest whole number, ties to even, as a long (exact for doubles)."""
     return F.bround(value.cast("double"), 0).cast("long")

@@ -263,65 +263,56 @@ def _with_representatives(events: DataFrame, budget: int) -> DataFrame:
     sequence, then best remaining gain. The gain counts terms not covered yet, weighted by how few
     clips of the event have them. Every round is a projection over the clip array of the event.
     """
+    ends_with = ", ".join(f"'{a}'" for a in vocab.TERMINAL_ACTIONS)
     terminal = rules.strings(vocab.TERMINAL_ACTIONS)
-    moves = F.filter("merge_details", lambda m: m["action_relation"] == "transition")
-    moving = F.array_distinct(F.flatten(F.transform(moves, lambda m: F.array(m["from_clip_id"], m["to_clip_id"]))))
-    informative = F.array_distinct(F.flatten(F.transform("clips", lambda c: c["informative"])))
-
-    def weighted(terms: Column, field: str) -> Column:
-        return F.transform(
-            terms,
-            lambda t: F.struct(
-                t.alias("term"),
-                (F.lit(1.0) / F.size(F.filter("clips", lambda c: F.array_contains(c[field], t)))).alias("w"),
-            ),
-        )
 
-    total = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["w"])
-    df = (
-        events.withColumn("_moving", moving)
-        .withColumn("_terms", informative)
-        .withColumn("_aw", weighted(F.col("predicates"), "predicates"))
-        .withColumn("_cw", weighted(F.col("_terms"), "informative"))
-        .withColumn("_at", total(F.col("_aw")))
-        .withColumn("_ct", total(F.col("_cw")))
-        .withColumn("_target", F.least(F.lit(budget), F.col("clip_count")))
-        .withColumn("_picked", F.array().cast("array<struct<clip_index:bigint,score:double,reason:string>>"))
-        .withColumn("_did", F.array().cast("array<string>"))
-        .withColumn("_dic", F.array().cast("array<string>"))
+    def weighted(terms: str, field: str) -> str:
+        per_term = f"size(filter(clips, c -> array_contains(c.{field}, t)))"
+        return f"transform({terms}, t -> struct(t AS term, 1D / {per_term} AS w))"
+
+    def summed(pairs: str) -> str:
+        return f"aggregate({pairs}, 0D, (acc, p) -> acc + p.w)"
+
+    moves = "filter(merge_details, m -> m.action_relation = 'transition')"
+    df = events.withColumns(
+        {
+            "_moving": F.expr(f"array_distinct(flatten(transform({moves}, m -> array(m.from_clip_id, m.to_clip_id))))"),
+            "_terms": F.expr("array_distinct(flatten(transform(clips, c -> c.informative)))"),
+            "_target": F.least(F.lit(budget), F.col("clip_count")),
+            "_picked": F.expr("CAST(array() AS array<struct<clip_index:bigint,score:double,reason:string>>)"),
+            "_did": F.expr("CAST(array() AS array<string>)"),
+            "_dic": F.expr("CAST(array() AS array<string>)"),
+        }
     )
+    df = df.withColumns({"_aw": F.expr(weighted("predicates", "predicates")), "_cw": F.expr(weighted("_terms", "informative"))})
+    df = df.withColumns({"_at": F.expr(summed("_aw")), "_ct": F.expr(summed("_cw"))})
 
-    def utility(c: Column) -> Column:
-        def gain(pairs: str, field: str, done: str, full: str) -> Column:
-            fresh = F.filter(pairs, lambda p: F.array_contains(c[field], p["term"]) & ~F.array_contains(F.col(done), p["term"]))
-            return ratio(total(fresh), F.nullif(F.col(full), F.lit(0.0)))
-
-        specific = F.lit(0.6) * c["observation_specificity"] + F.lit(0.4) * c["argument_specificity"]
-        return (
-            F.lit(0.55) * gain("_aw", "predicates", "_did", "_at")
-            + F.lit(0.25) * gain("_cw", "informative", "_dic", "_ct")
-            + F.lit(0.2) * specific
-        )
+    def gain(pairs: str, field: str, done: str, full: str) -> str:
+        fresh = f"filter({pairs}, p -> array_contains(c.{field}, p.term) AND NOT array_contains({done}, p.term))"
+        return f"coalesce(try_divide({summed(fresh)}, nullif({full}, 0D)), 0D)"
 
+    utility = (
+        f"0.55D * {gain('_aw', 'predicates', '_did', '_at')} + 0.25D * {gain('_cw', 'informative', '_dic', '_ct')} "
+        "+ 0.2D * (0.6D * c.observation_specificity + 0.4D * c.argument_specificity)"
+    )
     stages = [
-        ("primary_event_coverage", lambda c: F.lit(True)),
-        ("terminal_action_coverage", lambda c: F.arrays_overlap(c["predicates"], terminal)),
-        ("action_transition_coverage", lambda c: F.array_contains(F.col("_moving"), c["clip_id"])),
-        *[("marginal_event_coverage", lambda c: F.lit(True))] * (budget - 1),
+        ("primary_event_coverage", "true"),
+        ("terminal_action_coverage", f"arrays_overlap(c.predicates, array({ends_with}))"),
+        ("action_transition_coverage", "array_contains(_moving, c.clip_id)"),
+        *[("marginal_event_coverage", "true")] * (budget - 1),
     ]
     for reason, allowed in stages:
-        taken = F.transform("_picked", lambda p: p["clip_index"])
-        free = F.filter("clips", lambda c: allowed(c) & ~F.array_contains(taken, c["clip_index"].cast("bigint")))  # noqa: B023
-        rated = F.transform(free, lambda c: F.struct(utility(c).alias("u"), (-c["clip_index"]).cast("bigint").alias("i")))
-        df = df.withColumn("_best", F.when(F.size("_picked") < F.col("_target"), F.array_max(rated)))
-        chosen = F.filter("clips", lambda c: c["clip_index"].cast("bigint") == -F.col("_best.i"))
-        df = df.withColumn("_chosen", F.when(F.col("_best").isNotNull(), F.element_at(chosen, 1)))
-        pick = F.struct((-F.col("_best.i")).alias("clip_index"), F.col("_best.u").alias("score"), F.lit(reason).alias("reason"))
-        some = F.col("_best").isNotNull()
-        df = (
-            df.withColumn("_picked", F.when(some, F.array_append("_picked", pick)).otherwise(F.col("_picked")))
-            .withColumn("_did", F.when(some, F.array_union("_did", F.col("_chosen.predicates"))).otherwise(F.col("_did")))
-            .withColumn("_dic", F.when(some, F.array_union("_dic", F.col("_chosen.informative"))).otherwise(F.col("_dic")))
+        free = f"filter(clips, c -> {allowed} AND NOT exists(_picked, q -> q.clip_index = c.clip_index))"
+        rated = f"transform({free}, c -> struct({utility} AS u, -CAST(c.clip_index AS BIGINT) AS i))"
+        df = df.withColumn("_best", F.expr(f"CASE WHEN size(_picked) < _target THEN array_max({rated}) END"))
+        df = df.withColumn("_chosen", F.expr("try_element_at(filter(clips, c -> c.clip_index = -_best.i), 1)"))
+        pick = f"struct(-_best.i AS clip_index, _best.u AS score, '{reason}' AS reason)"
+        df = df.withColumns(
+            {
+                "_picked": F.expr(f"CASE WHEN _best IS NULL THEN _picked ELSE array_append(_picked, {pick}) END"),
+                "_did": F.expr("CASE WHEN _best IS NULL THEN _did ELSE array_union(_did, _chosen.predicates) END"),
+                "_dic": F.expr("CASE WHEN _best IS NULL THEN _dic ELSE array_union(_dic, _chosen.informative) END"),
+            }
         )
 
     def describe(p: Column, i: Column) -> Column:

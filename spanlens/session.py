@@ -16,6 +16,9 @@ def get_session(app: str = "spanlens", master: str | None = None, shuffle_partit
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Capturing the Python call site of every column call costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if shuffle_partitions:

@@ -1 +1,474 @@
-"""Registered queries."""
+"""Normalised clips, events, graph tables and graph questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlens.catalog import query
+from spanlens.catalog.inputs import CLIPS_SQL, clip_descriptions, table
+from spanlens.functions import rules, text, vocab
+from spanlens.operators import checks, events, graph, graphquery, normalize
+from spanlens.plans.ordered import with_previous
+from spanlens.session import cut_lineage
+
+_BLOOD = r"\bblood\b(?!\s+vessels?\b)|"
+
+
+def _matches(x: str, pattern: str) -> str:
+    if pattern.startswith(_BLOOD):  # RE2 has no look-ahead
+        rest = pattern[len(_BLOOD):]
+        return f"(regexp_matches(regexp_replace({x}, '\\bblood\\s+vessels?\\b', '', 'g'), '\\bblood\\b') OR regexp_matches({x}, '{rest}'))"
+    return f"regexp_matches({x}, '{pattern}')"
+
+
+def entity_sql(x: str, hint: str) -> tuple[str, str]:
+    """CASE chains for canonical and category."""
+    canonical, category = ["CASE"], ["CASE"]
+    for pattern, name, kind in vocab.ENTITY_RULES:
+        canonical.append(f"WHEN {_matches(x, pattern)} THEN '{name}'")
+        category.append(f"WHEN {_matches(x, pattern)} THEN '{kind}'")
+    for pattern, name, kind, hinted in vocab.ENTITY_FALLBACKS:
+        canonical.append(f"WHEN {_matches(x, pattern)} THEN '{name}'")
+        category.append(f"WHEN {_matches(x, pattern)} THEN " + (f"coalesce({hint}, '{kind}')" if hinted else f"'{kind}'"))
+    for kind, name in vocab.HINT_FALLBACKS:
+        canonical.append(f"WHEN {hint} = '{kind}' THEN '{name}'")
+        category.append(f"WHEN {hint} = '{kind}' THEN '{kind}'")
+    return " ".join([*canonical, "ELSE 'generic_object' END"]), " ".join([*category, f"ELSE coalesce({hint}, 'object') END"])
+
+
+def predicates_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN {v!r}" for p, v in vocab.ACTION_RULES) + " ELSE ['other_action'] END"
+
+
+def attributes_sql(x: str) -> str:
+    """All attribute values as 'group:value', sorted."""
+    hits = ", ".join(f"CASE WHEN regexp_matches({x}, '{p}') THEN '{g}:{v}' END" for g, rs in vocab.ATTRIBUTE_RULES.items() for p, v in rs)
+    return f"list_sort(list_distinct(list_filter([{hits}], lambda h: h IS NOT NULL)))"
+
+
+_CAN, _CAT = entity_sql("s", "hint")
+_PART = "SELECT p_partkey, p_name || CASE p_partkey % 7 " + " ".join(
+    f"WHEN {i} THEN ' {w}'" for i, w in enumerate(["with blood", "blood vessel", "tool", "of tissue layers", "thread-like material", "device wall"])
+) + " ELSE '' END AS surface, CASE p_partkey % 3 WHEN 0 THEN 'instrument' WHEN 1 THEN 'anatomy' END AS hint FROM part"
+_CLEAN = "trim(regexp_replace(lower(surface), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "entity_normalization",
+    f"SELECT p_partkey, {_CAN} AS canonical, {_CAT} AS category, array_to_string({attributes_sql('s')}, ',') AS attributes FROM (SELECT *, {_CLEAN} AS s FROM ({_PART}))",
+)
+def entity_normalization(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        "concat(p_name, CASE p_partkey % 7 WHEN 0 THEN ' with blood' WHEN 1 THEN ' blood vessel' WHEN 2 THEN ' tool' WHEN 3 THEN ' of tissue layers' "
+        "WHEN 4 THEN ' thread-like material' WHEN 5 THEN ' device wall' ELSE '' END) AS surface",
+        "CASE p_partkey % 3 WHEN 0 THEN 'instrument' WHEN 1 THEN 'anatomy' END AS hint",
+    )
+    p = p.withColumn("s", rules.squeeze(F.col("surface")))
+    pairs = F.flatten(F.transform(F.map_entries(rules.attributes(F.col("s"))), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(":"), v))))
+    e = rules.entity(F.col("s"), F.col("hint"))
+    return p.select("p_partkey", e["canonical"].alias("canonical"), e["category"].alias("category"), F.array_join(F.array_sort(pairs), ",").alias("attributes"))
+
+
+_PHRASE = "CASE event_id % 9 " + " ".join(
+    f"WHEN {i} THEN '{w}'"
+    for i, w in enumerate(["Grasps  and pulls", "is looped and tightened", "pushes the thread through tissue", "Emits red light and contacts", "held taut", "applies pressure", "places on", "cuts"])
+) + " ELSE event_type END"
+
+
+@query("action_normalization", f"SELECT event_id, array_to_string({predicates_sql('s')}, ',') AS predicates FROM (SELECT event_id, trim(regexp_replace(lower({_PHRASE}), '\\s+', ' ', 'g')) AS s FROM events)")
+def action_normalization(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("s", rules.squeeze(F.expr(_PHRASE)))
+    return e.select("event_id", F.array_join(rules.predicates(F.col("s")), ",").alias("predicates"))
+
+
+@query(
+    "lexical_tokens",
+    "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]+'), lambda t: len(t) > 1 AND NOT list_contains("
+    + repr(vocab.STOPWORDS)
+    + ", t)))), ' ') AS tokens FROM conversations",
+)
+def lexical_tokens(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.array_join(F.array_sort(text.lexical_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query(
+    "phrase_containment",
+    "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])') AS has_the, regexp_matches(lower(text), '(^|[^a-z0-9])and\\.($|[^a-z0-9])') AS has_and FROM documents",
+)
+def phrase_containment(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("_t", F.lower("text"))
+    return d.select("doc_id", text.contains_phrase(F.col("_t"), "the").alias("has_the"), text.contains_phrase(F.col("_t"), "and.").alias("has_and"))
+
+
+# Mentions and actions in plain relational form.
+_SURFACES = f"""SELECT *, {_CAN} AS canonical, {_CAT} AS category FROM (
+  SELECT *, surface AS s FROM (
+  SELECT clip_id, video_id, clip_index, 0 AS seq, 'visible_anatomy' AS source_field, 'anatomy' AS hint, anatomy AS surface, false AS arg FROM c
+  UNION ALL SELECT clip_id, video_id, clip_index, 1, 'visible_anatomy', 'anatomy', 'smooth tissue', false FROM c
+  UNION ALL SELECT clip_id, video_id, clip_index, 2, 'visible_instruments', 'instrument', tool, false FROM c
+  UNION ALL SELECT clip_id, video_id, clip_index, 3, 'visible_objects', 'object', object, false FROM c WHERE object IS NOT NULL
+  UNION ALL SELECT clip_id, video_id, clip_index, 10, 'action_subject', NULL, subject, true FROM c
+  UNION ALL SELECT clip_id, video_id, clip_index, 11, 'action_target', NULL, target, true FROM c))"""
+_GRAPH_CTE = f"""WITH c AS MATERIALIZED ({CLIPS_SQL}), s AS MATERIALIZED ({_SURFACES}),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY seq) - 1 AS position FROM (
+  SELECT * FROM s WHERE NOT arg UNION ALL
+  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, category, canonical ORDER BY seq) AS rn FROM s WHERE arg
+    AND NOT EXISTS (SELECT 1 FROM s v WHERE v.clip_id = s.clip_id AND NOT v.arg AND v.category = s.category AND v.canonical = s.canonical)) WHERE rn = 1)),
+mm AS MATERIALIZED (SELECT *, 'mention:' || clip_id || ':' || lpad(CAST(position AS VARCHAR), 3, '0') AS mention_id FROM m),
+k AS MATERIALIZED (SELECT clip_id, category, canonical, arg_min(mention_id, position) AS mention_id FROM mm GROUP BY 1, 2, 3),
+a AS MATERIALIZED (SELECT c.clip_id, c.video_id, c.clip_index, j, p[j + 1] AS predicate, 'action:' || c.clip_id || ':000:' || lpad(CAST(j AS VARCHAR), 2, '0') AS action_id, c.action AS original_action,
+  ks.mention_id AS subject_mention_id, kt.mention_id AS target_mention_id, ks.canonical AS subject_canonical, kt.canonical AS target_canonical
+  FROM (SELECT *, unnest(generate_series(0, len(p) - 1)) AS j FROM (SELECT *, {predicates_sql('action')} AS p FROM c)) c
+  JOIN s ss ON ss.clip_id = c.clip_id AND ss.seq = 10 JOIN k ks ON ks.clip_id = c.clip_id AND ks.category = ss.category AND ks.canonical = ss.canonical
+  JOIN s st ON st.clip_id = c.clip_id AND st.seq = 11 JOIN k kt ON kt.clip_id = c.clip_id AND kt.category = st.category AND kt.canonical = st.canonical)"""
+
+
+def _normalized(spark, sf_dir):
+    return normalize.normalize_clips(clip_descriptions(spark, sf_dir))
+
+
+@query("clip_mentions", f"{_GRAPH_CTE} SELECT clip_id, mention_id, surface, canonical, category, source_field, array_to_string({attributes_sql('surface')}, ',') AS attributes FROM mm")
+def clip_mentions(spark, sf_dir):
+    rows = normalize.mention_rows(_normalized(spark, sf_dir))
+    pairs = F.flatten(F.transform(F.map_entries("attributes"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(":"), v))))
+    return rows.select("clip_id", "mention_id", "surface", "canonical", "category", "source_field", F.array_join(F.array_sort(pairs), ",").alias("attributes"))
+
+
+@query("clip_actions", f"{_GRAPH_CTE} SELECT clip_id, action_id, predicate, original_action, subject_mention_id, target_mention_id FROM a")
+def clip_actions(spark, sf_dir):
+    rows = normalize.action_rows(_normalized(spark, sf_dir))
+    return rows.select("clip_id", "action_id", "predicate", "original_action", "subject_mention_id", "target_mention_id")
+
+
+@query(
+    "observation_records",
+    f"{_GRAPH_CTE} SELECT clip_id, summary, (SELECT count(*) FROM mm WHERE mm.clip_id = c.clip_id) AS mentions, (SELECT count(*) FROM a WHERE a.clip_id = c.clip_id) AS actions, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS excluded_inferences FROM c",
+)
+def observation_records(spark, sf_dir):
+    out = normalize.observation_records(_normalized(spark, sf_dir))
+    return out.select(
+        "clip_id", "summary", F.size("mentions").alias("mentions"), F.size("actions").alias("actions"),
+        F.size("medical_inferences_excluded_from_graph").alias("excluded_inferences"),
+    )
+
+
+_STOP = repr(vocab.STOP_CONCEPTS)
+_TRANS = ", ".join(f"{{'l': '{a}', 'r': '{b}', 's': {s!r}}}" for (a, b), s in sorted(vocab.TRANSITION_SUPPORT.items()))
+_EVENT_CTE = f"""{_GRAPH_CTE}, g AS MATERIALIZED (SELECT c.*, mc.concepts, list_filter(mc.concepts, lambda x: NOT list_contains({_STOP}, x)) AS informative, ac.predicates, coalesce(ac.roles, []) AS roles,
+  0.7::DOUBLE * mc.good / mc.n + 0.3::DOUBLE * ac.known / ac.n AS obs, ac.args / (2.0::DOUBLE * ac.n) AS arg FROM c
+  JOIN (SELECT clip_id, list_sort(list(DISTINCT canonical)) AS concepts, count(*) AS n, count(*) FILTER (NOT list_contains({_STOP}, canonical)) AS good FROM mm GROUP BY 1) mc USING (clip_id)
+  JOIN (SELECT clip_id, list_sort(list(DISTINCT predicate)) AS predicates, count(*) AS n, count(*) FILTER (predicate <> 'other_action') AS known,
+    sum(CAST(NOT list_contains({_STOP}, subject_canonical) AS INT) + CAST(NOT list_contains({_STOP}, target_canonical) AS INT)) AS args,
+    list_distinct(list_concat(list('subject|' || subject_canonical || '|' || predicate) FILTER (NOT list_contains({_STOP}, subject_canonical)),
+      list('target|' || target_canonical || '|' || predicate) FILTER (NOT list_contains({_STOP}, target_canonical)))) AS roles FROM a GROUP BY 1) ac USING (clip_id)),
+p AS (SELECT n.clip_id, n.video_id, n.clip_index, n.start_seconds, n.end_seconds, n.obs, n.arg, n.concepts, n.predicates, n.informative, n.summary, v.clip_id AS prev_id, v.end_seconds AS prev_end, v.concepts AS vc, v.informative AS vi, v.predicates AS vp, v.roles AS vr, n.roles AS nr,
+  list_intersect(v.informative, n.informative) AS shared,
+  list_filter(list_filter([{_TRANS}], lambda t: list_contains(v.predicates, t.l) AND list_contains(n.predicates, t.r)), lambda t: len(list_intersect(t.s, list_intersect(v.informative, n.informative))) > 0) AS sup
+  FROM g n LEFT JOIN g v ON v.video_id = n.video_id AND v.clip_index = n.clip_index - 1),
+q AS (SELECT *, len(list_intersect(vp, predicates)) > 0 AND len(list_intersect(vr, nr)) > 0 AS exact FROM p),
+r AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN len(sup) > 0 THEN 'transition' ELSE 'none' END AS rel,
+  CASE WHEN exact THEN len(list_intersect(vr, nr)) WHEN len(sup) > 0 THEN
+    len(list_distinct(flatten(list_transform(sup, lambda t: list_transform(list_filter(vr, lambda x: ends_with(x, '|' || t.l) AND list_contains(nr, regexp_replace(x, '[^|]*$', '') || t.r)), lambda x: x || '>' || t.r))))) ELSE 0 END AS roles_n,
+  CASE WHEN len(list_distinct(list_concat(vi, informative))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(vi, informative)) / CAST(len(list_distinct(list_concat(vi, informative))) AS DOUBLE) END AS ji,
+  len(list_intersect(vc, concepts)) / CAST(len(list_distinct(list_concat(vc, concepts))) AS DOUBLE) AS jc FROM q),
+t AS (SELECT *, CASE rel WHEN 'exact' THEN 1.0::DOUBLE WHEN 'transition' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS act, least(roles_n / 2.0::DOUBLE, 1.0) AS rp FROM r),
+u AS (SELECT *, CASE WHEN prev_id IS NOT NULL THEN 0.5::DOUBLE * act + 0.3::DOUBLE * ji + 0.1::DOUBLE * jc + 0.1::DOUBLE * rp END AS score FROM t),
+w AS (SELECT *, coalesce(start_seconds - prev_end <= 1.0 AND score >= 0.45 AND len(shared) > 0 AND rel <> 'none', false) AS link FROM u),
+x AS (SELECT *, sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY clip_index) AS island FROM w),
+y AS (SELECT *, (row_number() OVER (PARTITION BY video_id, island ORDER BY clip_index) - 1) % 5 AS pos FROM x),
+z AS MATERIALIZED (SELECT *, CAST(sum(CASE WHEN pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY clip_index) - 1 AS BIGINT) AS event_index FROM y),
+e AS MATERIALIZED (SELECT video_id, event_index, 'event:' || video_id || ':' || lpad(CAST(event_index AS VARCHAR), 5, '0') AS event_id, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, count(*) AS clip_count,
+  list(clip_id ORDER BY clip_index) AS clips, list_sort(list_distinct(flatten(list(concepts)))) AS concepts, list_sort(list_distinct(flatten(list(predicates)))) AS predicates,
+  CASE WHEN count(*) = 1 THEN 0.6 * avg(obs) + 0.4 * avg(arg) ELSE 0.3 * avg(CAST(printf('%.4f', score) AS DOUBLE)) FILTER (pos > 0) + 0.15 * min(CAST(printf('%.4f', score) AS DOUBLE)) FILTER (pos > 0)
+    + 0.2 * avg(CAST(printf('%.4f', ji) AS DOUBLE)) FILTER (pos > 0) + 0.15 * avg(rp) FILTER (pos > 0) + 0.1 * avg(obs) + 0.1 * avg(arg) END AS support FROM z GROUP BY 1, 2)"""
+
+
+def _assigned(spark, sf_dir, extra=()):
+    signed = normalize.with_signature(_normalized(spark, sf_dir))
+    return events.assign_events(signed, extra=extra, range_width=32)
+
+
+def _events(spark, sf_dir):
+    return events.build_events(_assigned(spark, sf_dir))
+
+
+@query("clip_neighbours", f"SELECT clip_id, lag(clip_id) OVER (PARTITION BY video_id ORDER BY clip_index) AS previous_clip FROM ({CLIPS_SQL})")
+def clip_neighbours(spark, sf_dir):
+    out = with_previous(clip_descriptions(spark, sf_dir), "video_id", "clip_index", "clip_id", ["clip_id"], width=16)
+    return out.select("clip_id", F.col("previous.clip_id").alias("previous_clip"))
+
+
+@query(
+    "clip_continuity",
+    f"{_EVENT_CTE} SELECT clip_id, rel AS action_relation, len(shared) AS shared_concepts, CAST(roles_n AS INT) AS shared_roles, round(score, 9) AS score FROM w WHERE prev_id IS NOT NULL",
+)
+def clip_continuity(spark, sf_dir):
+    out = _assigned(spark, sf_dir).filter(F.col("detail").isNotNull())
+    return out.select(
+        "clip_id", F.col("detail.action_relation").alias("action_relation"), F.size("detail.shared_informative_concepts").alias("shared_concepts"),
+        F.size("detail.shared_action_roles").alias("shared_roles"), F.round("score", 9).alias("score"),
+    )
+
+
+@query("clip_events", f"{_EVENT_CTE} SELECT clip_id, event_index, CAST(pos AS INT) AS event_position FROM z")
+def clip_events(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("clip_id", "event_index", "event_position")
+
+
+@query(
+    "temporal_events",
+    f"{_EVENT_CTE} SELECT event_id, start_seconds, end_seconds, clip_count, array_to_string(clips, ',') AS clips, array_to_string(concepts, ',') AS concepts, array_to_string(predicates, ',') AS predicates, round(support, 3) AS support FROM e",
+)
+def temporal_events(spark, sf_dir):
+    out = _events(spark, sf_dir)
+    return out.select(
+        "event_id", "start_seconds", "end_seconds", "clip_count", F.array_join("supporting_clip_ids", ",").alias("clips"),
+        F.array_join("concepts", ",").alias("concepts"), F.array_join("predicates", ",").alias("predicates"), F.round("structural_support_score", 3).alias("support"),
+    )
+
+
+@query("representative_clips")
+def representative_clips(spark, sf_dir):
+    out = _events(spark, sf_dir)
+    return out.select(
+        "event_id", "representative_action_coverage", "representative_entity_coverage", F.explode("representatives").alias("r")
+    ).select("event_id", "representative_action_coverage", "representative_entity_coverage", "r.*")
+
+
+_CONCEPT = "'concept:' || category || ':' || canonical"
+_NODES = f"""SELECT video_id, 'clip:' || clip_id AS id, 'segment' AS node_type, summary AS label FROM c
+  UNION ALL SELECT video_id, mention_id, 'entity_mention', surface FROM mm UNION ALL SELECT video_id, action_id, 'action_event', predicate FROM a
+  UNION ALL SELECT DISTINCT video_id, {_CONCEPT}, 'concept', canonical FROM mm UNION ALL SELECT DISTINCT video_id, 'concept:action:' || predicate, 'concept', predicate FROM a
+  UNION ALL SELECT video_id, event_id, 'temporal_event', coalesce(nullif(array_to_string(predicates[1:3], ', '), ''), 'no_normalized_action') || ' | ' || coalesce(nullif(array_to_string(concepts[1:4], ', '), ''), 'no_normalized_concept') FROM e"""
+
+
+@query("graph_nodes", f"{_EVENT_CTE} SELECT * FROM ({_NODES})")
+def graph_nodes(spark, sf_dir):
+    nodes = graph.build_nodes(_normalized(spark, sf_dir), _events(spark, sf_dir))
+    return nodes.select("video_id", "id", "node_type", "label")
+
+
+@query(
+    "graph_node_evidence",
+    f"""{_EVENT_CTE} SELECT video_id, id, clip_id FROM (SELECT video_id, 'clip:' || clip_id AS id, clip_id FROM c UNION ALL SELECT video_id, mention_id, clip_id FROM mm UNION ALL SELECT video_id, action_id, clip_id FROM a
+        UNION ALL SELECT DISTINCT video_id, {_CONCEPT}, clip_id FROM mm UNION ALL SELECT DISTINCT video_id, 'concept:action:' || predicate, clip_id FROM a
+        UNION ALL SELECT z.video_id, e.event_id, z.clip_id FROM z JOIN e ON e.video_id = z.video_id AND e.event_index = z.event_index)""",
+)
+def graph_node_evidence(spark, sf_dir):
+    return graph.build_node_evidence(_assigned(spark, sf_dir)).select("video_id", "id", "clip_id")
+
+
+_FIRST = f"SELECT mm.*, row_number() OVER (PARTITION BY clip_id, category, canonical ORDER BY position) AS rn FROM mm WHERE NOT list_contains({_STOP}, canonical)"
+_EDGES = f"""SELECT video_id, mention_id AS source, 'clip:' || clip_id AS target, 'observed_in' AS relation, 1.0 AS confidence FROM mm
+  UNION ALL SELECT video_id, mention_id, {_CONCEPT}, 'instance_of', 0.95 FROM mm UNION ALL SELECT video_id, action_id, 'clip:' || clip_id, 'observed_in', 1 FROM a
+  UNION ALL SELECT video_id, action_id, 'concept:action:' || predicate, 'instance_of', 0.98 FROM a UNION ALL SELECT video_id, action_id, subject_mention_id, 'has_subject', 1 FROM a
+  UNION ALL SELECT video_id, action_id, target_mention_id, 'acts_on', 1 FROM a
+  UNION ALL SELECT a.video_id, action_id, e.event_id, 'part_of', 1 FROM a JOIN z ON z.clip_id = a.clip_id JOIN e ON e.video_id = z.video_id AND e.event_index = z.event_index
+  UNION ALL SELECT z.video_id, e.event_id, 'clip:' || clip_id, 'contains', 1 FROM z JOIN e ON e.video_id = z.video_id AND e.event_index = z.event_index
+  UNION ALL SELECT video_id, 'clip:' || prev_id, 'clip:' || clip_id, 'temporal_before', 1 FROM z WHERE prev_id IS NOT NULL
+  UNION ALL SELECT l.video_id, l.event_id, n.event_id, 'temporal_before', 1 FROM e l JOIN e n ON n.video_id = l.video_id AND n.event_index = l.event_index + 1
+  UNION ALL SELECT l.video_id, l.mention_id, n.mention_id, 'possible_continuation', 0.6 FROM ({_FIRST}) l JOIN ({_FIRST}) n ON n.video_id = l.video_id AND n.clip_index = l.clip_index + 1
+    AND n.category = l.category AND n.canonical = l.canonical WHERE l.rn = 1 AND n.rn = 1
+  UNION ALL SELECT l.video_id, l.action_id, min(n.action_id), 'possible_continuation', 0.65 FROM a l JOIN a n ON n.video_id = l.video_id AND n.clip_index = l.clip_index + 1 AND n.predicate = l.predicate
+    AND n.subject_canonical = l.subject_canonical AND n.target_canonical = l.target_canonical GROUP BY 1, 2"""
+
+
+@query("graph_edges", f"{_EVENT_CTE} SELECT video_id, source, target, relation, CAST(confidence AS DOUBLE) AS confidence FROM ({_EDGES})")
+def graph_edges(spark, sf_dir):
+    assigned = _assigned(spark, sf_dir, ["mentions", "actions"])
+    return graph.build_edges(assigned, events.build_events(assigned)).select("video_id", "source", "target", "relation", "confidence")
+
+
+@query(
+    "graph_report",
+    f"""{_EVENT_CTE}, nn AS MATERIALIZED ({_NODES}), ee AS MATERIALIZED ({_EDGES}) SELECT c.video_id, c.source_clip_count, c.medical_inference_item_count, ac.other_action_count, ev.*, nn.*, ee.* FROM
+        (SELECT video_id, count(*) AS source_clip_count, count(*) FILTER (event_id % 3 = 0) AS medical_inference_item_count FROM c GROUP BY 1) c
+        JOIN (SELECT video_id AS v1, count(*) FILTER (predicate = 'other_action') AS other_action_count FROM a GROUP BY 1) ac ON v1 = video_id
+        JOIN (SELECT video_id AS v2, count(*) AS temporal_event_count, count(*) FILTER (clip_count > 1) AS merged_temporal_event_count, max(clip_count) AS maximum_clips_per_event FROM e GROUP BY 1) ev ON v2 = video_id
+        JOIN (SELECT video_id AS v3, count(*) AS node_count, count(*) FILTER (node_type = 'concept') AS concepts FROM nn GROUP BY 1) nn ON v3 = video_id
+        JOIN (SELECT video_id AS v4, count(*) AS edge_count, count(*) FILTER (relation = 'possible_continuation') AS continuations FROM ee GROUP BY 1) ee ON v4 = video_id""",
+)
+def graph_report(spark, sf_dir):
+    assigned = cut_lineage(_assigned(spark, sf_dir, ["mentions", "actions"]))
+    built = cut_lineage(events.build_events(assigned))
+    nodes, edges = graph.build_nodes(assigned, built), graph.build_edges(assigned, built)
+    out = graph.graph_report(nodes, edges, assigned, built)
+    v = F.col("video_id")
+    return out.select(
+        "video_id", "source_clip_count", "medical_inference_item_count", "other_action_count", v.alias("v2"), "temporal_event_count", "merged_temporal_event_count",
+        F.col("maximum_clips_per_event").cast("bigint").alias("maximum_clips_per_event"), v.alias("v3"), "node_count", F.col("node_type_counts")["concept"].alias("concepts"),
+        v.alias("v4"), "edge_count", F.coalesce(F.col("edge_type_counts")["possible_continuation"], F.lit(0)).alias("continuations"),
+    )
+
+
+@query("graph_violations", "SELECT 'x' AS check, 0 AS rows WHERE false")
+def graph_violations(spark, sf_dir):
+    """Rule checks on the graph built here; a valid graph gives no rows."""
+    assigned = cut_lineage(_assigned(spark, sf_dir, ["mentions", "actions"]))
+    built = cut_lineage(events.build_events(assigned))
+    nodes, edges = graph.build_nodes(assigned, built), graph.build_edges(assigned, built)
+    proof = graph.build_node_evidence(assigned)
+    found = {
+        "nodes": checks.node_violations(nodes),
+        "grounding": checks.ungrounded_nodes(nodes, proof),
+        "intervals": checks.interval_violations(proof),
+        "edges": checks.edge_violations(edges),
+        "node_ids": checks.duplicate_keys(nodes, ["video_id", "id"]),
+        "edge_ends": checks.dangling_edges(edges, nodes),
+        "chain": checks.branching_events(edges, built),
+        "events": checks.graphs_without_events(nodes),
+    }
+    out = None
+    for name, df in found.items():
+        part = df.groupBy(F.lit(name).alias("check")).agg(F.count(F.lit(1)).alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "top_concepts",
+    f"""{_GRAPH_CTE} SELECT video_id, term, n, rank FROM (SELECT video_id, canonical AS term, count(*) AS n, row_number() OVER (PARTITION BY video_id ORDER BY count(*) DESC, min(clip_index * 1000 + position)) AS rank FROM mm GROUP BY 1, 2) WHERE rank <= 20""",
+)
+def top_concepts(spark, sf_dir):
+    return graph.top_terms(_normalized(spark, sf_dir), "concepts").select("video_id", "term", "n", "rank")
+
+
+@query(
+    "top_actions",
+    f"""{_GRAPH_CTE} SELECT video_id, term, n, rank FROM (SELECT video_id, predicate AS term, count(*) AS n, row_number() OVER (PARTITION BY video_id ORDER BY count(*) DESC, min(clip_index * 1000 + j)) AS rank FROM a GROUP BY 1, 2) WHERE rank <= 20""",
+)
+def top_actions(spark, sf_dir):
+    return graph.top_terms(_normalized(spark, sf_dir), "actions").select("video_id", "term", "n", "rank")
+
+
+@query(
+    "concept_table",
+    f"""{_GRAPH_CTE} SELECT video_id, category, canonical, count(*) AS mention_count, count(DISTINCT clip_id) AS clip_count FROM
+        (SELECT video_id, clip_id, category, canonical FROM mm UNION ALL SELECT video_id, clip_id, 'action', predicate FROM a) GROUP BY 1, 2, 3""",
+)
+def concept_table(spark, sf_dir):
+    return graph.concept_table(_normalized(spark, sf_dir)).select("video_id", "category", "canonical", "mention_count", "clip_count")
+
+
+@query(
+    "support_summary",
+    f"{_EVENT_CTE} SELECT video_id, count(*) AS count, round(min(s), 3) AS minimum, round(avg(s), 3) AS mean, round(median(s), 3) AS median, round(max(s), 3) AS maximum FROM (SELECT video_id, CAST(printf('%.4f', support) AS DOUBLE) AS s FROM e) GROUP BY 1",
+)
+def support_summary(spark, sf_dir):
+    out = graph.score_summary(_events(spark, sf_dir), "structural_support_score")
+    return out.select("video_id", "count", *[F.round(c, 3).alias(c) for c in ("minimum", "mean", "median", "maximum")])
+
+
+# One question per clip, about its own recording.
+def _question(string: str) -> str:
+    return (
+        "CASE clip_index % 5 WHEN 0 THEN 'What happens after the ' || subject || ' ' || action || ' near ' || target || '?' "
+        "WHEN 1 THEN 'Which ' || tool || ' is seen before tightening the blue suture?' WHEN 2 THEN 'How does traction act on ' || anatomy || ', then cutting?' "
+        f"WHEN 3 THEN 'Frame number ' || CAST(clip_index + 7000 AS {string}) || ' calibrated zzz' ELSE 'Show ' || action || ' with the ' || coalesce(object, 'tubular structure') END"
+    )
+
+
+def graph_questions(spark, sf_dir):
+    flat = clip_descriptions(spark, sf_dir)
+    facts, acts = F.col("description.observed_facts"), F.col("description.observed_facts.actions")
+    rows = flat.select(
+        F.col("clip_id").alias("question_id"), "video_id", "clip_index", acts[0]["subject"].alias("subject"), acts[0]["action"].alias("action"),
+        acts[0]["target"].alias("target"), facts["visible_instruments"][0].alias("tool"), facts["visible_anatomy"][0].alias("anatomy"),
+        F.try_element_at(facts["visible_objects"], F.lit(1)).alias("object"),
+    )
+    return rows.select("question_id", "video_id", F.expr(_question("STRING")).alias("question"))
+
+
+def _phrase(x: str, phrase: str) -> str:
+    return f"regexp_matches({x}, '(^|[^a-z0-9]){phrase}($|[^a-z0-9])')"
+
+
+_SAID_ACTIONS = ", ".join(
+    "CASE WHEN " + " OR ".join(_phrase("ql", w) for w in [p.replace("_", " "), *vocab.ACTION_ALIASES.get(p, [])]) + f" THEN '{p}' END" for p in vocab.ACTION_VOCABULARY
+)
+_SAID_CONCEPTS = ", ".join(f"CASE WHEN {_phrase('ql', c.replace('_', ' '))} THEN '{c}' END" for c in vocab.ENTITY_VOCABULARY)
+_RULE_CANON = "CASE " + " ".join(f"WHEN {_matches('gram', p)} THEN '{c}'" for p, c, _ in vocab.ENTITY_RULES) + " END"
+_QUERY_CTE = f"""{_EVENT_CTE}, q0 AS (SELECT clip_id AS question_id, video_id, {_question('VARCHAR')} AS question FROM c),
+q1 AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS ql FROM q0),
+frag AS (SELECT question_id, ql AS f FROM q1 UNION ALL SELECT question_id, unnest(string_split(regexp_replace(ql, '[?.,;:]|\\b(?:after|before|then|while|followed by|and)\\b', chr(1), 'g'), chr(1))) FROM q1),
+qa AS (SELECT question_id, unnest({predicates_sql("trim(regexp_replace(f, '\\s+', ' ', 'g'))")}) AS term FROM frag UNION SELECT question_id, unnest(list_filter([{_SAID_ACTIONS}], lambda x: x IS NOT NULL)) FROM q1),
+wd AS MATERIALIZED (SELECT question_id, regexp_extract_all(ql, '[a-z0-9-]+') AS ws FROM q1),
+gr AS (SELECT DISTINCT question_id, gram FROM (SELECT question_id, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT question_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM wd, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE len(ws) >= n))),
+qc AS (SELECT question_id, {_RULE_CANON} AS term FROM gr UNION SELECT question_id, unnest(list_filter([{_SAID_CONCEPTS}], lambda x: x IS NOT NULL)) FROM q1),
+et AS MATERIALIZED (SELECT video_id, event_index, 'a' AS kind, unnest(predicates) AS term FROM e UNION ALL SELECT video_id, event_index, 'c', unnest(concepts) FROM e),
+df AS MATERIALIZED (SELECT video_id, kind, term, count(*) AS df FROM et GROUP BY 1, 2, 3), nv AS (SELECT video_id, count(*) AS n FROM e GROUP BY 1),
+qt AS MATERIALIZED (SELECT q1.question_id, q1.video_id, df.kind, df.term, ln((nv.n + 1) / CAST(df.df + 1 AS DOUBLE)) + 1.0 AS w FROM
+  (SELECT DISTINCT question_id, 'a' AS kind, term FROM qa WHERE term <> 'other_action' UNION SELECT DISTINCT question_id, 'c', term FROM qc WHERE term IS NOT NULL AND NOT list_contains({vocab.GENERIC_QUERY_CONCEPTS!r}, term)) t
+  JOIN q1 USING (question_id) JOIN df ON df.video_id = q1.video_id AND df.kind = t.kind AND df.term = t.term JOIN nv ON nv.video_id = q1.video_id),
+ql AS MATERIALIZED (SELECT question_id, video_id, {attributes_sql('ql')} AS attrs, list_distinct(list_filter(regexp_extract_all(ql, '[a-z0-9]+|[一-鿿]+'), lambda t: len(t) > 1 AND NOT list_contains({vocab.STOPWORDS!r}, t))) AS toks FROM q1)"""
+
+
+@query(
+    "normalized_questions",
+    f"""{_QUERY_CTE} SELECT ql.question_id, coalesce(string_agg(term, ',' ORDER BY term) FILTER (kind = 'a'), '') AS predicates, coalesce(string_agg(term, ',' ORDER BY term) FILTER (kind = 'c'), '') AS concepts,
+        round(coalesce(sum(w), 0), 6) AS weight, array_to_string(list_sort(list_distinct(list_transform(any_value(attrs), lambda x: regexp_replace(x, '^.*:', '')))), ',') AS attributes, array_to_string(list_sort(any_value(toks)), ',') AS tokens
+        FROM ql LEFT JOIN qt USING (question_id) GROUP BY 1""",
+)
+def normalized_questions(spark, sf_dir):
+    n = graphquery.normalize_questions(graph_questions(spark, sf_dir), graphquery.recording_terms(_events(spark, sf_dir)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    return n.select(
+        "question_id", F.array_join("query_predicates", ",").alias("predicates"), F.array_join("query_concepts", ",").alias("concepts"),
+        F.round(total("predicate_weights") + total("concept_weights"), 6).alias("weight"), F.array_join("query_attributes", ",").alias("attributes"),
+        F.array_join("query_tokens", ",").alias("tokens"),
+    )
+
+
+def _lookup(spark, sf_dir):
+    built = cut_lineage(_events(spark, sf_dir))
+    questions = graph_questions(spark, sf_dir)
+    return questions, built
+
+
+@query(
+    "unmatched_questions",
+    f"""{_QUERY_CTE}, tok AS MATERIALIZED (SELECT video_id, unnest(regexp_extract_all(lower(summary || ' '), '[a-z0-9]+')) AS tk FROM c UNION SELECT video_id, unnest(regexp_extract_all(lower(label), '[a-z0-9]+')) FROM ({_NODES}) WHERE node_type = 'temporal_event'),
+        att AS MATERIALIZED (SELECT DISTINCT video_id, unnest({attributes_sql('surface')}) AS av FROM mm)
+        SELECT question_id, 'no_match' AS status FROM ql WHERE question_id NOT IN (SELECT question_id FROM qt)
+        AND NOT EXISTS (SELECT 1 FROM tok WHERE tok.video_id = ql.video_id AND list_contains(ql.toks, tok.tk)) AND NOT EXISTS (SELECT 1 FROM att WHERE att.video_id = ql.video_id AND list_contains(ql.attrs, att.av))""",
+)
+def unmatched_questions(spark, sf_dir):
+    questions, built = _lookup(spark, sf_dir)
+    _, ranked = graphquery.retrieve_groups(questions, built)
+    return graphquery.unmatched(questions, ranked).select("question_id", "status")
+
+
+@query("event_groups_ranked")
+def event_groups_ranked(spark, sf_dir):
+    questions, built = _lookup(spark, sf_dir)
+    _, ranked = graphquery.retrieve_groups(questions, built)
+    return ranked.select(
+        "question_id", "rank", "event_ids", "anchor_event_id", "start_seconds", "end_seconds", "score", "matched_predicates", "matched_concepts", "expansion_reason", "reasoning_path"
+    )
+
+
+@query("graph_evidence")
+def graph_evidence(spark, sf_dir):
+    questions, built = _lookup(spark, sf_dir)
+    normalized, ranked = graphquery.retrieve_groups(questions, built)
+    return graphquery.select_evidence(ranked, normalized, built)
+
+
+@query("event_catalogue")
+def event_catalogue(spark, sf_dir):
+    assigned = cut_lineage(_assigned(spark, sf_dir))
+    return graphquery.event_catalogue(events.build_events(assigned), assigned)
+
+
+@query("event_frame_groups")
+def event_frame_groups(spark, sf_dir):
+    assigned = cut_lineage(_assigned(spark, sf_dir))
+    built = events.build_events(assigned)
+    chosen = built.select(
+        F.col("event_id").alias("question_id"), "video_id", "event_id", (F.col("event_index") % 2 == 0).alias("prefer_onset")
+    )
+    names = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.col("clip_id"), F.lit("/"), i.cast("string")))
+    good, _ = graphquery.event_frame_groups(chosen, built, assigned.select("video_id", "clip_id", "start_seconds", "end_seconds", names.alias("frame_paths")), 4)
+    return good.drop("question_id")

@@ -11,7 +11,8 @@ def get_session(app: str = "spanlens", master: str | None = None, shuffle_partit
     """Return the active session or build one; cluster settings are never overridden."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master)
+        # One JVM runs everything here, so its heap is set before it starts.
+        builder = builder.master(master).config("spark.driver.memory", "12g")
     builder = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -219,13 +219,13 @@ def clip_events(spark, sf_dir):
 
 @query(
     "temporal_events",
-    f"{_EVENT_CTE} SELECT event_id, start_seconds, end_seconds, clip_count, array_to_string(clips, ',') AS clips, array_to_string(concepts, ',') AS concepts, array_to_string(predicates, ',') AS predicates, round(support, 3) AS support FROM e",
+    f"{_EVENT_CTE} SELECT event_id, start_seconds, end_seconds, clip_count, array_to_string(clips, ',') AS clips, array_to_string(concepts, ',') AS concepts, array_to_string(predicates, ',') AS predicates, CAST(printf('%.4f', support) AS DOUBLE) AS support FROM e",
 )
 def temporal_events(spark, sf_dir):
     out = _events(spark, sf_dir)
     return out.select(
         "event_id", "start_seconds", "end_seconds", "clip_count", F.array_join("supporting_clip_ids", ",").alias("clips"),
-        F.array_join("concepts", ",").alias("concepts"), F.array_join("predicates", ",").alias("predicates"), F.round("structural_support_score", 3).alias("support"),
+        F.array_join("concepts", ",").alias("concepts"), F.array_join("predicates", ",").alias("predicates"), F.col("structural_support_score").alias("support"),
     )
 
 
@@ -233,7 +233,7 @@ def temporal_events(spark, sf_dir):
 def representative_clips(spark, sf_dir):
     out = _events(spark, sf_dir)
     return out.select(
-        "event_id", "representative_action_coverage", "representative_entity_coverage", F.explode("representatives").alias("r")
+        "event_id", "representative_action_coverage", "representative_entity_coverage", F.explode_outer("representatives").alias("r")
     ).select("event_id", "representative_action_coverage", "representative_entity_coverage", "r.*")
 
 

@@ -278,42 +278,44 @@ def _with_representatives(events: DataFrame, budget: int) -> DataFrame:
         {
             "_moving": F.expr(f"array_distinct(flatten(transform({moves}, m -> array(m.from_clip_id, m.to_clip_id))))"),
             "_terms": F.expr("array_distinct(flatten(transform(clips, c -> c.informative)))"),
-            "_target": F.least(F.lit(budget), F.col("clip_count")),
-            "_picked": F.expr("CAST(array() AS array<struct<clip_index:bigint,score:double,reason:string>>)"),
-            "_did": F.expr("CAST(array() AS array<string>)"),
-            "_dic": F.expr("CAST(array() AS array<string>)"),
         }
     )
     df = df.withColumns({"_aw": F.expr(weighted("predicates", "predicates")), "_cw": F.expr(weighted("_terms", "informative"))})
-    df = df.withColumns({"_at": F.expr(summed("_aw")), "_ct": F.expr(summed("_cw"))})
 
-    def gain(pairs: str, field: str, done: str, full: str) -> str:
+    def gain(pairs: str, field: str, done: str) -> str:
         fresh = f"filter({pairs}, p -> array_contains(c.{field}, p.term) AND NOT array_contains({done}, p.term))"
-        return f"coalesce(try_divide({summed(fresh)}, nullif({full}, 0D)), 0D)"
+        return f"coalesce(try_divide({summed(fresh)}, nullif({summed(pairs)}, 0D)), 0D)"
 
     utility = (
-        f"0.55D * {gain('_aw', 'predicates', '_did', '_at')} + 0.25D * {gain('_cw', 'informative', '_dic', '_ct')} "
+        f"0.55D * {gain('_aw', 'predicates', 's.did')} + 0.25D * {gain('_cw', 'informative', 's.dic')} "
         "+ 0.2D * (0.6D * c.observation_specificity + 0.4D * c.argument_specificity)"
     )
     stages = [
-        ("primary_event_coverage", "true"),
-        ("terminal_action_coverage", f"arrays_overlap(c.predicates, array({ends_with}))"),
-        ("action_transition_coverage", "array_contains(_moving, c.clip_id)"),
-        *[("marginal_event_coverage", "true")] * (budget - 1),
+        "'primary_event_coverage'",
+        "'terminal_action_coverage'",
+        "'action_transition_coverage'",
+        *["'marginal_event_coverage'"] * (budget - 1),
     ]
-    for reason, allowed in stages:
-        free = f"filter(clips, c -> {allowed} AND NOT exists(_picked, q -> q.clip_index = c.clip_index))"
-        rated = f"transform({free}, c -> struct({utility} AS u, -CAST(c.clip_index AS BIGINT) AS i))"
-        df = df.withColumn("_best", F.expr(f"CASE WHEN size(_picked) < _target THEN array_max({rated}) END"))
-        df = df.withColumn("_chosen", F.expr("try_element_at(filter(clips, c -> c.clip_index = -_best.i), 1)"))
-        pick = f"struct(-_best.i AS clip_index, _best.u AS score, '{reason}' AS reason)"
-        df = df.withColumns(
-            {
-                "_picked": F.expr(f"CASE WHEN _best IS NULL THEN _picked ELSE array_append(_picked, {pick}) END"),
-                "_did": F.expr("CASE WHEN _best IS NULL THEN _did ELSE array_union(_did, _chosen.predicates) END"),
-                "_dic": F.expr("CASE WHEN _best IS NULL THEN _dic ELSE array_union(_dic, _chosen.informative) END"),
-            }
-        )
+    allowed = (
+        f"CASE g WHEN 'terminal_action_coverage' THEN arrays_overlap(c.predicates, array({ends_with})) "
+        "WHEN 'action_transition_coverage' THEN array_contains(_moving, c.clip_id) ELSE true END"
+    )
+    # The rounds are one fold over the stages: the state holds the picks and what they cover. The
+    # one-element arrays name the best clip once per round.
+    free = f"filter(clips, c -> {allowed} AND NOT exists(s.picked, q -> q.clip_index = c.clip_index))"
+    rated = f"transform({free}, c -> struct({utility} AS u, -CAST(c.clip_index AS BIGINT) AS i))"
+    best = f"CASE WHEN size(s.picked) < least({budget}, clip_count) THEN array_max({rated}) END"
+    pick = "struct(-b.i AS clip_index, b.u AS score, g AS reason)"
+    own = "element_at(filter(clips, c -> c.clip_index = -b.i), 1)"
+    after = (
+        f"struct(array_append(s.picked, {pick}) AS picked, array_union(s.did, {own}.predicates) AS did, "
+        f"array_union(s.dic, {own}.informative) AS dic)"
+    )
+    state = "struct<picked:array<struct<clip_index:bigint,score:double,reason:string>>,did:array<string>,dic:array<string>>"
+    step = f"element_at(transform(array({best}), b -> CASE WHEN b IS NULL THEN s ELSE CAST({after} AS {state}) END), 1)"
+    start = f"CAST(named_struct('picked', array(), 'did', array(), 'dic', array()) AS {state})"
+    df = df.withColumn("_fold", F.expr(f"aggregate(array({', '.join(stages)}), {start}, (s, g) -> {step})"))
+    df = df.withColumns({"_picked": F.col("_fold.picked"), "_did": F.col("_fold.did"), "_dic": F.col("_fold.dic")})
 
     def describe(p: Column, i: Column) -> Column:
         clip = F.element_at(F.filter("clips", lambda c: c["clip_index"].cast("bigint") == p["clip_index"]), 1)

@@ -246,7 +246,8 @@ _NODES = f"""SELECT video_id, 'clip:' || clip_id AS id, 'segment' AS node_type,
 
 @query("graph_nodes", f"{_EVENT_CTE} SELECT * FROM ({_NODES})")
 def graph_nodes(spark, sf_dir):
-    nodes = graph.build_nodes(_normalized(spark, sf_dir), _events(spark, sf_dir))
+    assigned = cut_lineage(_assigned(spark, sf_dir))
+    nodes = graph.build_nodes(assigned, events.build_events(assigned))
     return nodes.select("video_id", "id", "node_type", "label")
 
 
@@ -277,7 +278,7 @@ _EDGES = f"""SELECT video_id, mention_id AS source, 'clip:' || clip_id AS target
 
 @query("graph_edges", f"{_EVENT_CTE} SELECT video_id, source, target, relation, CAST(confidence AS DOUBLE) AS confidence FROM ({_EDGES})")
 def graph_edges(spark, sf_dir):
-    assigned = _assigned(spark, sf_dir, ["mentions", "actions"])
+    assigned = cut_lineage(_assigned(spark, sf_dir, ["mentions", "actions"]))
     return graph.build_edges(assigned, events.build_events(assigned)).select("video_id", "source", "target", "relation", "confidence")
 
 

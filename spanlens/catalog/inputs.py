@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.operators.normalize import DESCRIPTION_TYPE
+from spanlens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recordings whose duration in seconds is their length."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("video_id"), F.col("n_chars").cast("double").alias("duration_seconds"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return spread(docs, "doc_id").select(F.col("doc_id").alias("video_id"), F.col("n_chars").cast("double").alias("duration_seconds"))
 
 
 # Question texts of every kind of time expression, from the events table.
@@ -54,7 +55,7 @@ def time_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Recordings are runs of 100 events. Phase questions carry options and an answer; every fifth
     question also has an older wording that states a clock range.
     """
-    e = table(spark, sf_dir, "events").select(
+    e = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("qa_uid"),
         F.expr("event_id div 100").alias("video_id"),
         F.col("event_id").alias("ord"),
@@ -139,7 +140,7 @@ CLIPS_SQL = (
 
 def clip_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One described clip per event."""
-    flat = table(spark, sf_dir, "events").selectExpr("event_id", *[f"{v} AS {k}" for k, v in _clip_columns(SPARK_DIV).items()])
+    flat = spread(table(spark, sf_dir, "events"), "event_id").selectExpr("event_id", *[f"{v} AS {k}" for k, v in _clip_columns(SPARK_DIV).items()])
     description = f"""CAST(named_struct(
         'summary', summary,
         'observed_facts', named_struct(

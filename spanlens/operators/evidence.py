@@ -54,7 +54,7 @@ def phase_anchors(stated: DataFrame, windows: DataFrame, shortest_key: int = 4)
     starts = F.sequence(F.lit(1), F.length("_text") - (shortest_key - 1))
     grams = asked.filter(F.length("_text") >= shortest_key).withColumn(
         "_gram",
-        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_text", i, F.lit(shortest_key))))),
+        F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.substring("_text", i, F.lit(shortest_key))))),
     )
     return (
         grams.join(keys, ["video_id", "_gram"])

@@ -157,16 +157,23 @@ def observation_records(clips: DataFrame) -> DataFrame:
     )
 
 
+_PLACE = ["video_id", "clip_id", "clip_index", "start_seconds", "end_seconds"]
+
+
 def mention_rows(clips: DataFrame) -> DataFrame:
-    return clips.select("video_id", "clip_id", "clip_index", "start_seconds", "end_seconds", F.explode("mentions").alias("m")).select(
-        "video_id", "clip_id", "clip_index", "start_seconds", "end_seconds", "m.*"
-    )
+    """One row per mention.
+
+    The outer generator with a test afterwards stops the optimiser from testing the array size first,
+    which would compute the whole normalisation a second time.
+    """
+    rows = clips.select(*_PLACE, F.explode_outer("mentions").alias("m")).filter("m IS NOT NULL")
+    return rows.select(*_PLACE, "m.*")
 
 
 def action_rows(clips: DataFrame) -> DataFrame:
-    return clips.select(
-        "video_id", "clip_id", "clip_index", "start_seconds", "end_seconds", F.posexplode("actions").alias("position", "a")
-    ).select("video_id", "clip_id", "clip_index", "start_seconds", "end_seconds", "position", "a.*")
+    """One row per action and predicate."""
+    rows = clips.select(*_PLACE, F.posexplode_outer("actions").alias("position", "a")).filter("a IS NOT NULL")
+    return rows.select(*_PLACE, "position", "a.*")
 
 
 ROLE_TYPE = "array<struct<role:string,canonical:string,predicate:string>>"

@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spanlens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give compute-heavy row work at least one partition per core.
+
+    A small or single-row-group file arrives as one partition; a large scan already has enough splits
+    and is returned as it is. Rows are placed by key hash, so a repeated task sees the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -355,11 +355,11 @@ def concept_table(spark, sf_dir):
 
 @query(
     "support_summary",
-    f"{_EVENT_CTE} SELECT video_id, count(*) AS count, round(min(s), 3) AS minimum, round(avg(s), 3) AS mean, round(median(s), 3) AS median, round(max(s), 3) AS maximum FROM (SELECT video_id, CAST(printf('%.4f', support) AS DOUBLE) AS s FROM e) GROUP BY 1",
+    f"{_EVENT_CTE} SELECT video_id, count(*) AS count, min(s) AS minimum, CAST(printf('%.4f', avg(s)) AS DOUBLE) AS mean, CAST(printf('%.4f', median(s)) AS DOUBLE) AS median, max(s) AS maximum FROM (SELECT video_id, CAST(printf('%.4f', support) AS DOUBLE) AS s FROM e) GROUP BY 1",
 )
 def support_summary(spark, sf_dir):
     out = graph.score_summary(_events(spark, sf_dir), "structural_support_score")
-    return out.select("video_id", "count", *[F.round(c, 3).alias(c) for c in ("minimum", "mean", "median", "maximum")])
+    return out.select("video_id", "count", "minimum", "mean", "median", "maximum")
 
 
 # One question per clip, about its own recording.

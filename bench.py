@@ -29,7 +29,6 @@ QUERIES = [
     "temporal_events",
     "graph_edges",
     "normalized_questions",
-    "event_groups_ranked",
     "token_f1",
     "answer_report",
     "paired_report",

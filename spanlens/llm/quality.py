@@ -118,6 +118,8 @@ def certified_cutoffs(holdout: DataFrame, stratum: str, risk: float = 0.04, erro
     ])
     # One row per (stratum, outcome vector) before the grid is laid out: a few hundred rows, however many labels there are.
     votes = holdout.select(F.col(stratum).alias("stratum"), "quality", grid.alias("grid")).groupBy("stratum", "quality", "grid").agg(F.count("*").alias("n"))
+    votes = staged(votes, "votes")
+    n_strata = votes.select("stratum").distinct().count()
     cells = votes.select("stratum", "quality", "n", F.inline("grid"))
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     cells = cells.groupBy("stratum", "rule", "step", "cutoff").agg(
@@ -125,10 +127,8 @@ def certified_cutoffs(holdout: DataFrame, stratum: str, risk: float = 0.04, erro
         F.coalesce(F.sum(F.when(good & F.col("out"), F.col("n"))), F.lit(0)).alias("n_false"),
         F.coalesce(F.sum(F.when(bad & F.col("out"), F.col("n"))), F.lit(0)).alias("n_right"),
     )
-    strata = votes.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
-    cells = cells.join(F.broadcast(strata))  # one row
     cells = cells.withColumn("p", F.lit(risk / len(RULES))).withColumn("tail", lower_tail("n_false", "n_good", "p"))
-    passed = F.col("tail") <= F.lit(error) / (F.col("n_strata") * len(RULES))
+    passed = F.col("tail") <= F.lit(error / max(1, n_strata * len(RULES)))
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     cells = cells.withColumn("passed", F.min(passed.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     gain = F.col("n_right") - price * F.col("n_false")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import decontaminate, mixing, quality, secrets, token_counts
+from spanlens.llm import decontaminate, language, language_model, mixing, quality, secrets, token_counts
 from spanlens.llm.common import shared_folder, table
 
 TOKENIZER_FILE = "piece_bpe_32k.model"
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.is_held_out(F.col("doc_id")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents. The cache starts empty here, so that each run measures the whole work."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,12 +75,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.is_held_out(F.col("doc_id"))
+    model = language.train(docs.where(~held_out))
+    tagged = language.label_texts(docs.select("doc_id", "text"), model)
+    return tagged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 QUERIES = {
+    "op2_lm_scores": op2_lm_scores,
     "op3_token_counts": op3_token_counts,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}

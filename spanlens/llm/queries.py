@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import decontaminate, language, language_model, mixing, quality, secrets, token_counts
+from spanlens.llm import decontaminate, jaccard, language, language_model, mixing, quality, secrets, token_counts
 from spanlens.llm.common import shared_folder, table
 
 TOKENIZER_FILE = "piece_bpe_32k.model"
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_model.score(docs, language_model.is_held_out(F.col("doc_id")))
@@ -84,6 +89,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_scores": op2_lm_scores,
     "op3_token_counts": op3_token_counts,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,

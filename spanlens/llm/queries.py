@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import decontaminate, jaccard, language, language_model, mixing, quality, secrets, token_counts
+from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, secrets, token_counts
 from spanlens.llm.common import shared_folder, table
 
 TOKENIZER_FILE = "piece_bpe_32k.model"
@@ -36,6 +38,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, cache, tokenizer_path(), limit=4096).select("doc_id", "tokens.*")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes the template, read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id bigint, turn bigint, role string, text string")
+    nodes = chat.linear(rows.unionByName(extra))
+    made = chat.format_trees(nodes, "conv_id", "node", "parent")
+
+    @F.arrow_udf("struct<n_turns:bigint,turns_sha256:string,loss_chars:bigint,loss_sha256:string>")
+    def read(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, marked in zip(texts.to_pylist(), spans.to_pylist()):
+            turns = chat.read_turns(text)
+            learned = chat.read_learned(text, [(s["start"], s["end"]) for s in marked])
+            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+            out.append({
+                "n_turns": len(turns), "turns_sha256": hashlib.sha256(whole.encode()).hexdigest(),
+                "loss_chars": len(learned), "loss_sha256": hashlib.sha256(learned.encode()).hexdigest(),
+            })
+        return pa.array(out, pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]))
+
+    back = made.select("conv_id", read("formatted", "spans").alias("r"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    return back.select("conv_id", "r.*", "formatted_chars")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "deduped.n_lines", "deduped.n_removed", F.col("deduped.text").alias("text"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -92,7 +124,9 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_scores": op2_lm_scores,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,

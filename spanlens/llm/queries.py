@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, secrets, token_counts
 from spanlens.llm.common import shared_folder, table
+from spanlens.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER_FILE = "piece_bpe_32k.model"
 
@@ -132,5 +133,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {}

@@ -181,7 +181,7 @@ class Model:
             at = end
         lengths = np.concatenate(counts) if counts else np.empty(0, np.int64)
         scores = np.concatenate(scores) if scores else np.zeros((0, len(self.labels)))
-        if not len(scores):
+        if not len(scores) or not self.labels:
             return scores, lengths
         alpha, beta, _ = forward_backward(scores, self.transitions, lengths)
         return marginals(alpha, beta), lengths

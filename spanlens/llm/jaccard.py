@@ -10,9 +10,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanlens.llm.common import found_in, hash_words, raw_texts, run_hashes, space_words, staged
 from spanlens.llm.components import components
@@ -21,8 +20,9 @@ SMALL_SET_MAX = 30  # largest size for which the boundary may be put; small sets
 HOT_LIST = 16
 HOT_HASHES = 1_000_000
 SHORT_LIST = 32
-LEADERS = 8
-BLOCK = 256
+BLOCK_SETS = 1_024
+BLOCK_ELEMENTS = 400_000
+COLUMNS = 2_048
 FILTER_BITS = 1 << 26
 FILTER_PROBES = 3
 
@@ -164,12 +164,17 @@ def light_links(classes: DataFrame, limit: int, percent: int) -> DataFrame:
     return met.select(F.col("class").alias("a"), F.col("first.class").alias("b")).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, more=None) -> DataFrame:
-    """Pairs of different classes with a common list and sizes that can link, as a < b, each once."""
-    renamed = right.select(*on, F.col("class").alias("class_2"), F.col("n").alias("n_2"), *[F.col(c).alias(f"{c}_2") for c in right.columns if c not in (*on, "class", "n", "k")])
-    fits = (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (F.col("class") != F.col("class_2"))
-    met = left.join(renamed, on).where(fits if more is None else fits & more)
-    return met.select(F.least("class", "class_2").alias("a"), F.greatest("class", "class_2").alias("b")).distinct()
+def _can_link(percent: int) -> Column:
+    """Sizes fit, and the common element stands early enough in both heads to be the first of a large enough intersection."""
+    need = F.ceil(percent * (F.col("n") + F.col("n_2")) / F.lit(100 + percent))
+    return (F.col("at") <= F.col("n") - need) & (F.col("at_2") <= F.col("n_2") - need)
+
+
+def list_pairs(listed: DataFrame, percent: int, smallest: int) -> DataFrame:
+    """Pairs a < b of classes with a common list, each once; only those with a set of ``smallest`` or more elements."""
+    other = listed.select("h", F.col("class").alias("class_2"), F.col("n").alias("n_2"), F.col("at").alias("at_2"))
+    fits = (F.col("class") < F.col("class_2")) & (F.greatest("n", "n_2") >= smallest) & _can_link(percent)
+    return listed.join(other, "h").where(fits).select(F.col("class").alias("a"), F.col("class_2").alias("b")).distinct()
 
 
 class MemberFilter:
@@ -232,18 +237,35 @@ def _candidate_sets(length: int, asked):
     return sets
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
-    """The pairs that link: first by signature (a proof of distance), the rest by their whole sets.
-
-    Whole sets are made again from the texts, only for classes left in a pair: a Bloom filter of fixed size
-    leaves out the others before anything is shuffled.
-    """
-    context = pairs.sparkSession.sparkContext
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures do not prove them too far apart."""
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
         return pa.array([may_link(*row, percent) for row in zip(a.to_pylist(), n.to_pylist(), b.to_pylist(), m.to_pylist())], pa.bool_())
 
+    marks = classes.select("class", "n", "sig")
+    met = pairs.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b")
+    return met.where(near("sig_a", "n_a", "sig_b", "n_b")).select("a", "b")
+
+
+def _side(table: DataFrame, name: str) -> DataFrame:
+    return table.select(*[F.col(c).alias(name if c == "class" else f"{c}_{name}") for c in table.columns])
+
+
+def whole_sets(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """class, elements of the classes asked for (and of a few others), made again from the texts.
+
+    A Bloom filter of fixed size leaves out the texts of other classes before anything is shuffled.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(MemberFilter(asked, "class"))
+    found = texts.select(_candidate_sets(length, wanted)("text").alias("s")).where("s IS NOT NULL").select("s.*")
+    return staged(found.groupBy("class").agg(F.first("elements").alias("elements")), "sets")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -252,20 +274,118 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, length: int
             out.append(int(found_in(x, y)[0].sum()) >= needed(len(x), len(y), percent))
         return pa.array(out, pa.bool_())
 
-    def side(table: DataFrame, name: str) -> DataFrame:
-        return table.select(*[F.col(c).alias(name if c == "class" else f"{c}_{name}") for c in table.columns])
-
-    marks = classes.select("class", "n", "sig")
-    left = pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b")
-    left = staged(left.where(near("sig_a", "n_a", "sig_b", "n_b")).select("a", "b"), "near")
-    asked = left.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    filter_ = context.broadcast(MemberFilter(asked, "class"))
-    found = texts.select(_candidate_sets(length, filter_)("text").alias("s")).where("s IS NOT NULL").select("s.*")
-    found = staged(found.groupBy("class").agg(F.first("elements").alias("elements")), "sets")
-    met = left.join(side(found, "a"), "a").join(side(found, "b"), "b")
+    met = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
     return met.where(linked("elements_a", "elements_b")).select("a", "b")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of slices of the incidence matrix; elements of one set alone are left out."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    number = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    owner, column = owner[keep], number[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        total += part @ part.T
+    return total
+
+
+def _block_links(percent: int):
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("class")
+        sets = [np.frombuffer(raw, np.uint64) for raw in part["elements"]]
+        n, cut, names = np.array([len(s) for s in sets]), part["cut"].to_numpy(), part["class"].to_numpy()
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+        close = np.triu(overlaps(sets) >= need, 1)
+        if cut.min() != cut.max():
+            close &= cut[:, None] != cut[None, :]
+        root, out = list(range(len(sets))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        # Links inside what is connected already add nothing.
+        for i, j in zip(*np.nonzero(close)):
+            x, y = find(int(i)), find(int(j))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(names[i]), int(names[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return scan
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int, smallest: int) -> DataFrame:
+    """Links among the classes of long lists (class, n), enough to connect all that link.
+
+    Long lists come from large groups of near copies and from texts of frequent passages. Among these classes
+    alone elements are counted over whole sets, and heads are made anew with the frequent last, so elements a
+    text has for itself come first and most texts too far from all others drop out. Short lists give pairs.
+    A long list is dealt into blocks of about BLOCK_SETS sets, and each pair of blocks is compared as two
+    matrices in one task that returns a forest: no row is made for a pair that does not link.
+    """
+    context = members.sparkSession.sparkContext
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(batch.column(0).to_pylist())
+            values, n = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["h", "k"])
+
+    own = staged(sets.join(members, "class").select("class", "n", "elements"), "family")
+    counts = own.select("elements").mapInArrow(spell, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
+    hot = context.broadcast(frequent(staged(counts.where(F.col("k") >= HOT_LIST), "frequent"))[0])
+
+    @F.arrow_udf("array<bigint>")
+    def heads(column: pa.Array) -> pa.Array:
+        out = []
+        for raw in column:
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            often = found_in(hot.value, s)[0]
+            out.append(np.concatenate([s[~often], s[often]])[: head_size(len(s), percent)].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    listed = own.select("class", "n", F.posexplode(heads("elements")).alias("at", "h"))
+    least = listed.groupBy("h").agg(F.min("n").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k")
+    partner = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / F.lit(100)))
+    early = F.col("at") <= F.col("n") - F.ceil(percent * (F.col("n") + partner) / F.lit(100 + percent))
+    listed = staged(listed.join(least, "h").where(early).select("h", "class", "n", "at"), "lists")
+    length = listed.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("elements_in")).where("k > 1")
+    listed = listed.join(length, "h")
+    pairs = list_pairs(listed.where(F.col("k") <= SHORT_LIST), percent, smallest)
+    blocks = listed.where(F.col("k") > SHORT_LIST)
+    cuts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("elements_in") / BLOCK_ELEMENTS)).cast("int")
+    blocks = blocks.withColumn("cut", F.pmod(F.xxhash64("class"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    blocks = blocks.select("h", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "class")
+    found = blocks.join(own.select("class", "elements"), "class").groupBy("h", "lo", "hi").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    return linked_pairs(pairs, own.select("class", "elements"), percent).unionByName(found.distinct())
+
+
+def frequent(lists: DataFrame) -> tuple[np.ndarray, float, int]:
+    """The elements of long lists (h, k) in sorted order, at most HOT_HASHES; the mean list length of an entry with those apart; all entries."""
+    # Lengths of lists by powers of two: a few dozen rows.
+    spread = lists.groupBy(F.floor(F.log2("k")).cast("int").alias("e")).agg(F.count("*").alias("n"), F.sum("k").alias("entries"))
+    spread = {r["e"]: (r["n"], r["entries"]) for r in spread.collect()}
+    start = int(math.log2(HOT_LIST))
+    while sum(n for e, (n, _) in spread.items() if e >= start) > HOT_HASHES:
+        start += 1
+    entries = sum(k for _, k in spread.values())
+    mean = sum(min(2.0**e, HOT_LIST) * k for e, (_, k) in spread.items()) / max(1, entries)
+    if not any(e >= start for e in spread):
+        return np.empty(0, np.uint64), mean, entries
+    often = lists.where(F.col("k") >= 2**start).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    return np.sort(often), mean, entries
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles, class, component_id of each document.
 
@@ -297,47 +417,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     p = F.expr(f"CAST(n - (n * {percent} + 99) div 100 + 1 AS int)")
     heads = classes.select("class", "n", F.slice("head", F.lit(1), p).alias("head"))
     lists = heads.select(F.explode("head").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
-    # Lengths of lists by powers of two: a few dozen rows.
-    spread = lists.groupBy(F.floor(F.log2("k")).cast("int").alias("e")).agg(F.count("*").alias("n"), F.sum("k").alias("entries"))
-    spread = {r["e"]: (r["n"], r["entries"]) for r in spread.collect()}
-    hot_from = max(4, int(math.log2(HOT_LIST)))
-    while sum(n for e, (n, _) in spread.items() if e >= hot_from) > HOT_HASHES:
-        hot_from += 1
-    entries = sum(k for _, k in spread.values())
-    list_length = sum(min(2.0**e, HOT_LIST) * k for e, (_, k) in spread.items()) / max(1, entries)
+    often, list_length, entries = frequent(lists)
     sizes = {r["n"]: r["k"] for r in classes.where(F.col("n") <= SMALL_SET_MAX).groupBy("n").agg(F.count("*").alias("k")).collect()}
     tail = max(0, entries - sum(k * head_size(n, percent) for n, k in sizes.items()))
     limit = boundary(sizes, tail, list_length, percent)
-    if any(e >= hot_from for e in spread):
-        often = lists.where(F.col("k") >= 2**hot_from).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-        hot = context.broadcast(np.sort(often))
+    if len(often):
+        hot = context.broadcast(often)
         cool = rows.select(_cool_heads(shingle, percent, hot)("text").alias("s")).where("s IS NOT NULL").select("s.*")
         cool = staged(cool.groupBy("class").agg(F.first("head").alias("cool")), "heads")
         heads = heads.join(cool, "class", "left").select("class", "n", F.coalesce("cool", "head").alias("head"))
-    listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.explode("head").alias("h"))
+    listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.posexplode("head").alias("at", "h"))
     # The list lengths come by a join on the element; single entries, most of all, end here.
     length = listed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     listed = staged(listed.join(length, "h"), "lists")
-    short, long = listed.where(F.col("k") <= SHORT_LIST), listed.where(F.col("k") > SHORT_LIST)
-    large = F.greatest("n", "n_2") > limit
-    order = Window.partitionBy("h").orderBy(F.xxhash64("h", "class"), "class")
-    leaders = long.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS).drop("place")
-    pairs = _pairs(short, short, ["h"], percent, large & (F.col("class") < F.col("class_2")))
-    pairs = staged(pairs.unionByName(_pairs(long, leaders, ["h"], percent, large)).distinct(), "pairs")
-    links = light_links(classes, limit, percent).unionByName(verified(pairs, classes, rows, shingle, percent))
-    links = staged(links, "links")
+    pairs = list_pairs(listed.where(F.col("k") <= SHORT_LIST), percent, limit + 1)
+    pairs = staged(near_pairs(pairs, classes, percent), "pairs")
+    members = staged(listed.where(F.col("k") > SHORT_LIST).select("class", "n").distinct(), "members")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
+    whole = whole_sets(asked, rows, shingle)
+    links = light_links(classes, limit, percent).unionByName(linked_pairs(pairs, whole, percent))
+    if not members.isEmpty():
+        links = links.unionByName(family_links(members, whole, percent, limit + 1))
     roots = staged(components(links), "roots")
-    if not long.isEmpty():
-        named = long.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
-        named = named.join(mixed, "h").withColumn("cuts", F.ceil(F.col("k") / BLOCK).cast("int"))
-        left = named.withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
-        right = named.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-        across = _pairs(left, right, ["h", "cut"], percent, large & (F.col("root") != F.col("root_2")) & (F.col("class") < F.col("class_2")))
-        rest = staged(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            more = verified(rest, classes, rows, shingle, percent)
-            roots = staged(components(links.unionByName(more)), "roots")
     owned = classes.select("class", "low").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     owned = staged(owned.join(lowest, "root").select("class", "component_id"), "owned")

@@ -50,8 +50,8 @@ def random_texts(n, seed, words=400):
 
 @pytest.mark.parametrize("shingle,percent", [(3, 90), (5, 80)])
 def test_near_duplicates_match_all_pairs(spark, docs, shingle, percent, monkeypatch):
-    # Short limits send the same texts through long lists, leaders and blocks.
-    for limits in ({}, {"HOT_LIST": 4, "SHORT_LIST": 3, "LEADERS": 1, "BLOCK": 2}):
+    # Short limits send the same texts through long lists and blocks.
+    for limits in ({}, {"HOT_LIST": 4, "SHORT_LIST": 3, "BLOCK_SETS": 5, "COLUMNS": 7}):
         for name, value in limits.items():
             monkeypatch.setattr(jaccard, name, value)
         texts = random_texts(700, 5)

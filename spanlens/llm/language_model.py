@@ -17,6 +17,7 @@ from spanlens.llm.common import found_in, hash_words, raw_texts, space_words, st
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0xA24BAED4963EE407)
 CHUNK_TOKENS = 1_500_000
 BUCKET_BYTES = 8_000_000
+WRITE_BUCKETS = 16
 MAX_FILTER_BITS = 1 << 28
 HEAVY = 1 << 17
 PROBES = 4
@@ -133,7 +134,8 @@ def counted(training: DataFrame, n_buckets: int) -> DataFrame:
     merged = packed.groupBy("kind", "bucket").applyInPandas(
         merge, "kind int, bucket int, total bigint, distinct bigint, levels array<bigint>, keys binary, counts binary"
     )
-    return staged(merged, "ngrams")
+    # A task merges and writes WRITE_BUCKETS buckets: about 128 MB of text each.
+    return staged(merged.coalesce(max(1, n_buckets // WRITE_BUCKETS)), "ngrams")
 
 
 def level(counts: np.ndarray) -> np.ndarray:

@@ -58,26 +58,28 @@ def read_learned(formatted: str, spans: list[tuple[int, int]]) -> str:
 
 
 def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Ancestor tables by powers of two, and the root, depth and path score of each node.
+    """(tree, node, up) by powers of two: the 2^k-th ancestors; and the root distance and path score of each node.
 
-    ``nodes`` has tree, node, parent (null or unknown: a root), score. Step k joins the table of 2^k-th
-    ancestors to itself, so a path of n turns takes log2(n) joins and no row is wider than a few ids. Nodes on
-    or behind a cycle never meet a root and are left out of the second table.
+    ``nodes`` has tree, node, parent (null or unknown: a root), score. Step k looks the ancestors of the nodes
+    that have one up in the same table, so a path of n turns takes log2(n) joins, no row is wider than a few ids,
+    and nodes nearer than 2^k to their root take no part. Nodes on or behind a cycle never meet a root and are
+    left out of the second table.
     """
     known = nodes.select("tree", F.col("node").alias("parent")).withColumn("there", F.lit(True))
-    start = nodes.join(known, ["tree", "parent"], "left").select(
+    first = nodes.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("depth"), F.col("score").alias("total")
     )
-    levels = [staged(start, "ancestors")]
+    here = staged(first, "ancestors")
+    open_, placed = here.where("up IS NOT NULL"), here.where("up IS NULL")
+    levels = []
     steps = max(1, nodes.count()).bit_length()
-    while len(levels) <= steps and not levels[-1].where("up IS NOT NULL").isEmpty():
-        here = levels[-1]
-        next_ = here.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
-        joined = here.join(next_, ["tree", "up"], "left")
-        levels.append(staged(joined.select(
-            "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"),
-        ), "ancestors"))
-    return levels, levels[-1].where("up IS NULL").select("tree", "node", "depth", "total")
+    while len(levels) <= steps and not open_.isEmpty():
+        levels.append(open_.select("tree", "node", "up"))
+        above = placed.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
+        joined = open_.join(above, ["tree", "up"])
+        here = staged(joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("gain")).alias("total")), "ancestors")
+        open_, placed = here.where("up IS NOT NULL"), placed.unionByName(here.where("up IS NULL"))
+    return levels, placed.select("tree", "node", "depth", "total")
 
 
 def chosen_paths(nodes: DataFrame, keep: int) -> DataFrame:
@@ -88,15 +90,14 @@ def chosen_paths(nodes: DataFrame, keep: int) -> DataFrame:
     all of them add as many again.
     """
     levels, placed = ancestors(nodes)
-    parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
+    parents = levels[0].select("tree", F.col("up").alias("node")).distinct() if levels else nodes.select("tree", "node").limit(0)
     leaves = placed.join(parents, ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), "depth", "node")
     best = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= keep)
-    paths = best.select("tree", F.col("node").alias("leaf"), "branch", "node")
-    for level in levels[:-1]:
-        up = level.where("up IS NOT NULL").select("tree", "node", "up")
-        added = paths.join(up, ["tree", "node"]).select("tree", "leaf", "branch", F.col("up").alias("node"))
-        paths = staged(paths.unionByName(added), "paths")
+    paths = staged(best.select("tree", F.col("node").alias("leaf"), "branch", "node"), "paths")
+    for level in levels:
+        added = paths.join(level, ["tree", "node"]).select("tree", "leaf", "branch", F.col("up").alias("node"))
+        paths = paths.unionByName(staged(added, "paths"))
     return paths.join(placed.select("tree", "node", "depth"), ["tree", "node"])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanlens.llm.common import found_in, hash_words, raw_texts, space_words, staged
 
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0xA24BAED4963EE407)
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 600_000
 BUCKET_BYTES = 8_000_000
 WRITE_BUCKETS = 16
 MAX_FILTER_BITS = 1 << 28

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import fresh
+from spanlens.llm.common import fresh, staged
 
 CACHE_SCHEMA = "content_digest binary, n_tokens bigint, tokenizer_digest string"
 BATCH_CHARS = 2_000_000
@@ -93,7 +93,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, text: st
     misses = misses.join(read_cache(spark, cache_path, version), "content_digest", "left_anti")
     counted = misses.select("content_digest", encoder(tokenizer_path)("content").alias("n_tokens"), F.lit(version).alias("tokenizer_digest"))
     counted.write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version).select(F.col("content_digest").alias(digest), F.col("n_tokens").alias("__n"))
+    # Staged, so that both sides of the join are plain exchanges and a content of many rows can be split.
+    counts = staged(read_cache(spark, cache_path, version), "counts").select(F.col("content_digest").alias(digest), F.col("n_tokens").alias("__n"))
     keyed = docs.withColumn(digest, F.unhex(F.sha2(content, 256))).withColumn("__bytes", F.octet_length(content).cast("bigint"))
     joined = keyed.join(counts, digest, "left")
     result = F.struct(F.col("__bytes").alias("n_bytes"), F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from spanlens.llm.common import WORD_RE, staged
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -74,7 +74,7 @@ def mix(
     a source's taken words equal its target rounded to a word. The order is the digest of seed and key, so
     reruns agree whatever the layout.
 
-    The order is never sorted as a whole: digests cut each source into slices of about 20,000 rows, slice
+    The order is never sorted as a whole: digests cut each source into slices of about 4,000 rows, slice
     sums find the one slice on the border, and only that slice is sorted. A hot source has more slices, not
     larger ones. Source totals and slice sums come from partial aggregates.
 

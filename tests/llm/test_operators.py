@@ -290,7 +290,7 @@ def test_secret_spans(docs, empty):
 
 
 def test_mixing_hits_targets(spark, docs, empty):
-    for limit in (20_000, 2):
+    for limit in (4_000, 2):
         mixing.SLICE_ROWS, before = limit, mixing.SLICE_ROWS
         try:
             got = mixing.mix(docs).collect()

@@ -19,7 +19,7 @@ from spanlens.llm.components import components
 SMALL_SET_MAX = 30  # largest size for which the boundary may be put; small sets are carried whole up to it
 HOT_LIST = 16
 HOT_HASHES = 1_000_000
-SHORT_LIST = 32
+SHORT_LIST = 4
 BLOCK_SETS = 1_024
 BLOCK_ELEMENTS = 400_000
 COLUMNS = 2_048
@@ -297,9 +297,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(percent: int):
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
+    def scan(part: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("class")
-        sets = [np.frombuffer(raw, np.uint64) for raw in part["elements"]]
+        whole = {c: np.frombuffer(raw, np.uint64) for c, raw in zip(leaders["leader"], leaders["elements"])}
+        sets = []
+        for leader, minus, plus in zip(part["leader"], part["minus"], part["plus"]):
+            base = whole[leader]
+            sets.append(np.concatenate([base[~found_in(np.frombuffer(minus, np.uint64), base)[0]], np.frombuffer(plus, np.uint64)]))
         n, cut, names = np.array([len(s) for s in sets]), part["cut"].to_numpy(), part["class"].to_numpy()
         need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
         close = np.triu(overlaps(sets) >= need, 1)
@@ -324,50 +328,38 @@ def _block_links(percent: int):
     return scan
 
 
-def family_links(members: DataFrame, sets: DataFrame, percent: int, smallest: int) -> DataFrame:
-    """Links among the classes of long lists (class, n), enough to connect all that link.
+@F.arrow_udf("struct<minus:binary,plus:binary>")
+def _difference(own: pa.Array, leader: pa.Array) -> pa.Array:
+    """What a set lacks of its leader's, and what it has besides; sorted."""
+    out = []
+    for x, y in zip(own, leader):
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        out.append({"minus": y[~found_in(x, y)[0]].tobytes(), "plus": x[~found_in(y, x)[0]].tobytes()})
+    return pa.array(out, pa.struct([("minus", pa.binary()), ("plus", pa.binary())]))
 
-    Long lists come from large groups of near copies and from texts of frequent passages. Among these classes
-    alone elements are counted over whole sets, and heads are made anew with the frequent last, so elements a
-    text has for itself come first and most texts too far from all others drop out. Short lists give pairs.
-    A long list is dealt into blocks of about BLOCK_SETS sets, and each pair of blocks is compared as two
-    matrices in one task that returns a forest: no row is made for a pair that does not link.
-    """
-    context = members.sparkSession.sparkContext
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            values, n = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["h", "k"])
 
-    own = staged(sets.join(members, "class").select("class", "n", "elements"), "family")
-    counts = own.select("elements").mapInArrow(spell, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
-    hot = context.broadcast(frequent(staged(counts.where(F.col("k") >= HOT_LIST), "frequent"))[0])
-
-    @F.arrow_udf("array<bigint>")
-    def heads(column: pa.Array) -> pa.Array:
-        out = []
-        for raw in column:
-            s = np.frombuffer(raw.as_buffer(), np.uint64)
-            often = found_in(hot.value, s)[0]
-            out.append(np.concatenate([s[~often], s[often]])[: head_size(len(s), percent)].view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+def family_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes of each long list (h, class, n, at, k, elements_in), enough to connect all that link.
 
-    listed = own.select("class", "n", F.posexplode(heads("elements")).alias("at", "h"))
-    least = listed.groupBy("h").agg(F.min("n").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k")
-    partner = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / F.lit(100)))
-    early = F.col("at") <= F.col("n") - F.ceil(percent * (F.col("n") + partner) / F.lit(100 + percent))
-    listed = staged(listed.join(least, "h").where(early).select("h", "class", "n", "at"), "lists")
-    length = listed.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("elements_in")).where("k > 1")
-    listed = listed.join(length, "h")
-    pairs = list_pairs(listed.where(F.col("k") <= SHORT_LIST), percent, smallest)
-    blocks = listed.where(F.col("k") > SHORT_LIST)
+    Long lists come from large groups of near copies and from texts of frequent passages. A list is dealt into
+    blocks of about BLOCK_SETS sets, and each pair of blocks is compared as two matrices in one task that returns
+    a forest: no row is made for a pair that does not link. Sets travel as their difference from a leader, the
+    smallest class of their first list, which is a few elements among near copies; leaders travel whole.
+    """
+    lead = listed.groupBy("h").agg(F.min("class").alias("leader"))
+    first = listed.groupBy("class").agg(F.min_by("h", "at").alias("h")).join(lead, "h").select("class", "leader")
+    whole = sets.select(F.col("class").alias("leader"), F.col("elements").alias("elements_leader"))
+    coded = first.join(sets, "class").join(whole, "leader")
+    coded = coded.select("class", "leader", _difference("elements", "elements_leader").alias("d")).select("class", "leader", "d.*")
+    coded = staged(coded, "coded")
     cuts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("elements_in") / BLOCK_ELEMENTS)).cast("int")
-    blocks = blocks.withColumn("cut", F.pmod(F.xxhash64("class"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    blocks = listed.withColumn("cut", F.pmod(F.xxhash64("class"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     blocks = blocks.select("h", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "class")
-    found = blocks.join(own.select("class", "elements"), "class").groupBy("h", "lo", "hi").applyInPandas(_block_links(percent), "a bigint, b bigint")
-    return linked_pairs(pairs, own.select("class", "elements"), percent).unionByName(found.distinct())
+    members = blocks.join(coded, "class")
+    leaders = blocks.join(coded.select("class", "leader"), "class").select("h", "lo", "hi", "leader").distinct()
+    leaders = leaders.join(whole.withColumnRenamed("elements_leader", "elements"), "leader")
+    met = members.groupBy("h", "lo", "hi").cogroup(leaders.groupBy("h", "lo", "hi"))
+    return met.applyInPandas(_block_links(percent), "a bigint, b bigint").distinct()
 
 
 def frequent(lists: DataFrame) -> tuple[np.ndarray, float, int]:
@@ -428,16 +420,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         heads = heads.join(cool, "class", "left").select("class", "n", F.coalesce("cool", "head").alias("head"))
     listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.posexplode("head").alias("at", "h"))
     # The list lengths come by a join on the element; single entries, most of all, end here.
-    length = listed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    listed = staged(listed.join(length, "h"), "lists")
+    length = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.sum("n").alias("elements_in")).where("k > 1")
+    # An element so late in a head that no set of the list is small enough for it ends here too.
+    partner = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / F.lit(100)))
+    early = F.col("at") <= F.col("n") - F.ceil(percent * (F.col("n") + partner) / F.lit(100 + percent))
+    listed = staged(listed.join(length, "h").where(early), "lists")
     pairs = list_pairs(listed.where(F.col("k") <= SHORT_LIST), percent, limit + 1)
     pairs = staged(near_pairs(pairs, classes, percent), "pairs")
-    members = staged(listed.where(F.col("k") > SHORT_LIST).select("class", "n").distinct(), "members")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
+    long = listed.where(F.col("k") > SHORT_LIST)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
     whole = whole_sets(asked, rows, shingle)
     links = light_links(classes, limit, percent).unionByName(linked_pairs(pairs, whole, percent))
-    if not members.isEmpty():
-        links = links.unionByName(family_links(members, whole, percent, limit + 1))
+    links = links.unionByName(family_links(long, whole, percent))
     roots = staged(components(links), "roots")
     owned = classes.select("class", "low").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -19,7 +19,7 @@ GRAMS = 1 << GRAM_BITS
 AFFIXES = 1 << AFFIX_BITS
 LEXICON_AT = N_GRAMS * GRAMS + N_AFFIXES * AFFIXES
 N_FEATURES = LEXICON_AT + LEXICON_SIZE + 1  # the last one: not in the lexicon
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 200_000
 SEGMENT = 128
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -294,7 +294,7 @@ RESULT_TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("
 RESULT = "struct<lang_pred:string,score:double,n_words:bigint,runs:array<struct<start:bigint,end:bigint,lang:string>>>"
 
 
-def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bool = False, batch_bytes: int = 4_000_000) -> DataFrame:
+def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bool = False, batch_bytes: int = 1_000_000) -> DataFrame:
     """``docs`` with a struct column ``language``: lang_pred, score, n_words, runs.
 
     Each word gets the posterior of each language given the whole text, by forward-backward. ``lang_pred`` is

@@ -299,7 +299,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _block_links(percent: int):
     def scan(part: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("class")
-        whole = {c: np.frombuffer(raw, np.uint64) for c, raw in zip(leaders["leader"], leaders["elements"])}
+        whole = {c: np.frombuffer(raw, np.uint64) for c, raw in zip(leaders["leader_2"], leaders["elements"])}
         sets = []
         for leader, minus, plus in zip(part["leader"], part["minus"], part["plus"]):
             base = whole[leader]
@@ -328,14 +328,18 @@ def _block_links(percent: int):
     return scan
 
 
-@F.arrow_udf("struct<minus:binary,plus:binary>")
-def _difference(own: pa.Array, leader: pa.Array) -> pa.Array:
-    """What a set lacks of its leader's, and what it has besides; sorted."""
-    out = []
-    for x, y in zip(own, leader):
-        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        out.append({"minus": y[~found_in(x, y)[0]].tobytes(), "plus": x[~found_in(y, x)[0]].tobytes()})
-    return pa.array(out, pa.struct([("minus", pa.binary()), ("plus", pa.binary())]))
+def _difference():
+    """Arrow UDF: what a set lacks of its leader's, and what it has besides; sorted."""
+
+    @F.arrow_udf("struct<minus:binary,plus:binary>")
+    def difference(own: pa.Array, leader: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(own, leader):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            out.append({"minus": y[~found_in(x, y)[0]].tobytes(), "plus": x[~found_in(y, x)[0]].tobytes()})
+        return pa.array(out, pa.struct([("minus", pa.binary()), ("plus", pa.binary())]))
+
+    return difference
 
 
 def family_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -350,15 +354,15 @@ def family_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = listed.groupBy("class").agg(F.min_by("h", "at").alias("h")).join(lead, "h").select("class", "leader")
     whole = sets.select(F.col("class").alias("leader"), F.col("elements").alias("elements_leader"))
     coded = first.join(sets, "class").join(whole, "leader")
-    coded = coded.select("class", "leader", _difference("elements", "elements_leader").alias("d")).select("class", "leader", "d.*")
+    coded = coded.select("class", "leader", _difference()("elements", "elements_leader").alias("d")).select("class", "leader", "d.*")
     coded = staged(coded, "coded")
     cuts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("elements_in") / BLOCK_ELEMENTS)).cast("int")
     blocks = listed.withColumn("cut", F.pmod(F.xxhash64("class"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     blocks = blocks.select("h", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "class")
     members = blocks.join(coded, "class")
     leaders = blocks.join(coded.select("class", "leader"), "class").select("h", "lo", "hi", "leader").distinct()
-    leaders = leaders.join(whole.withColumnRenamed("elements_leader", "elements"), "leader")
-    met = members.groupBy("h", "lo", "hi").cogroup(leaders.groupBy("h", "lo", "hi"))
+    leaders = leaders.join(whole, "leader").select(F.col("h").alias("h_2"), F.col("lo").alias("lo_2"), F.col("hi").alias("hi_2"), F.col("leader").alias("leader_2"), F.col("elements_leader").alias("elements"))
+    met = members.groupBy("h", "lo", "hi").cogroup(leaders.groupBy("h_2", "lo_2", "hi_2"))
     return met.applyInPandas(_block_links(percent), "a bigint, b bigint").distinct()
 
 

@@ -19,7 +19,7 @@ from spanlens.llm.components import components
 SMALL_SET_MAX = 30  # largest size for which the boundary may be put; small sets are carried whole up to it
 HOT_LIST = 16
 HOT_HASHES = 1_000_000
-SHORT_LIST = 4
+SHORT_LIST = 32
 BLOCK_SETS = 1_024
 BLOCK_ELEMENTS = 400_000
 COLUMNS = 2_048
@@ -298,10 +298,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _block_links(percent: int):
     def scan(part: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=["a", "b"], dtype=np.int64)
         part = part.sort_values("class")
         whole = {c: np.frombuffer(raw, np.uint64) for c, raw in zip(leaders["leader_2"], leaders["elements"])}
         sets = []
-        for leader, minus, plus in zip(part["leader"], part["minus"], part["plus"]):
+        for leader, minus, plus, alone in zip(part["leader"], part["minus"], part["plus"], part["whole"]):
+            if alone:
+                sets.append(np.frombuffer(plus, np.uint64))
+                continue
             base = whole[leader]
             sets.append(np.concatenate([base[~found_in(np.frombuffer(minus, np.uint64), base)[0]], np.frombuffer(plus, np.uint64)]))
         n, cut, names = np.array([len(s) for s in sets]), part["cut"].to_numpy(), part["class"].to_numpy()
@@ -329,38 +334,80 @@ def _block_links(percent: int):
 
 
 def _difference():
-    """Arrow UDF: what a set lacks of its leader's, and what it has besides; sorted."""
+    """Arrow UDF: what a set lacks of its leader's, and what it has besides; the whole set where that is shorter."""
 
-    @F.arrow_udf("struct<minus:binary,plus:binary>")
+    @F.arrow_udf("struct<minus:binary,plus:binary,whole:boolean>")
     def difference(own: pa.Array, leader: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(own, leader):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            out.append({"minus": y[~found_in(x, y)[0]].tobytes(), "plus": x[~found_in(y, x)[0]].tobytes()})
-        return pa.array(out, pa.struct([("minus", pa.binary()), ("plus", pa.binary())]))
+            minus, plus = y[~found_in(x, y)[0]], x[~found_in(y, x)[0]]
+            whole = len(minus) + len(plus) >= len(x)
+            out.append({"minus": b"" if whole else minus.tobytes(), "plus": (x if whole else plus).tobytes(), "whole": whole})
+        return pa.array(out, pa.struct([("minus", pa.binary()), ("plus", pa.binary()), ("whole", pa.bool_())]))
 
     return difference
 
 
-def family_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the classes of each long list (h, class, n, at, k, elements_in), enough to connect all that link.
+def in_blocks(listed: DataFrame) -> DataFrame:
+    """Rows of lists (h, class, n) dealt into blocks and repeated for each pair of blocks (lo, hi) of their list that holds them."""
+    size = listed.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("elements_in")).where("k > 1")
+    cuts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("elements_in") / BLOCK_ELEMENTS)).cast("int")
+    rows = listed.select("h", "class", "n").join(size, "h").withColumn("cuts", cuts)
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return rows.select("h", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "class", "n")
+
+
+def _near_members(percent: int):
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        """The sets with a set near by in the same pair of blocks, by signature, and the smallest class among both."""
+        part = part.sort_values("class").reset_index(drop=True)
+        n, cut, names = part["n"].to_numpy(), part["cut"].to_numpy(), part["class"].to_numpy()
+        marks = [np.frombuffer(raw, np.uint8) for raw in part["sig"]]
+        wide, full = np.array([len(m) for m in marks]), np.array([m.max() == 255 for m in marks])
+        best = np.full(len(part), -1)
+        apart = cut.min() != cut.max()
+        for width in np.unique(wide):
+            # Sets of sizes that can link have signatures of this width or of twice it, which are folded.
+            here = np.flatnonzero((wide == width) | (wide == 2 * width))
+            table = np.stack([marks[i].astype(np.int16).reshape(width, -1).sum(axis=1) for i in here]).astype(np.int16)
+            for row, i in enumerate(here):
+                differ = np.abs(table - table[row]).sum(axis=1, dtype=np.int64)
+                both = n[i] + n[here]
+                close = (both - 2 * (-(-percent * both // (100 + percent))) >= differ) | full[i] | full[here]
+                close &= 100 * np.minimum(n[i], n[here]) >= percent * np.maximum(n[i], n[here])
+                close[row] = False
+                if apart:
+                    close &= cut[here] != cut[i]
+                if close.any():
+                    first = min(int(i), int(here[np.argmax(close)]))
+                    best[i] = first if best[i] < 0 else min(best[i], first)
+        keep = best >= 0
+        return pd.DataFrame({"h": part["h"][keep], "class": names[keep], "n": n[keep], "leader": names[best[keep]]})
+
+    return scan
 
-    Long lists come from large groups of near copies and from texts of frequent passages. A list is dealt into
-    blocks of about BLOCK_SETS sets, and each pair of blocks is compared as two matrices in one task that returns
-    a forest: no row is made for a pair that does not link. Sets travel as their difference from a leader, the
-    smallest class of their first list, which is a few elements among near copies; leaders travel whole.
+
+def family_links(listed: DataFrame, classes: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links among the classes of each long list (h, class, n), enough to connect all that link.
+
+    Long lists come from groups of near copies and from texts of shared passages. A list is dealt into blocks of
+    about BLOCK_SETS sets, and each pair of blocks is one task's work, twice: by signatures, which leave the sets
+    that have any other near by (few among texts that share a passage only), then by whole sets, as two matrices;
+    a task returns a forest, so no row is made for a pair. Sets travel as their difference from a leader, the
+    smallest class near by, which is a few elements among near copies; leaders travel whole.
     """
-    lead = listed.groupBy("h").agg(F.min("class").alias("leader"))
-    first = listed.groupBy("class").agg(F.min_by("h", "at").alias("h")).join(lead, "h").select("class", "leader")
+    marked = in_blocks(listed).join(classes.select("class", "sig"), "class")
+    near = marked.groupBy("h", "lo", "hi").applyInPandas(_near_members(percent), "h bigint, class bigint, n bigint, leader bigint")
+    near = staged(near.groupBy("h", "class", "n").agg(F.min("leader").alias("leader")), "near")
+    led = near.groupBy("class").agg(F.min("leader").alias("leader"))
+    sets = whole_sets(near.select("class").distinct(), texts, length)
     whole = sets.select(F.col("class").alias("leader"), F.col("elements").alias("elements_leader"))
-    coded = first.join(sets, "class").join(whole, "leader")
-    coded = coded.select("class", "leader", _difference()("elements", "elements_leader").alias("d")).select("class", "leader", "d.*")
-    coded = staged(coded, "coded")
-    cuts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("elements_in") / BLOCK_ELEMENTS)).cast("int")
-    blocks = listed.withColumn("cut", F.pmod(F.xxhash64("class"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    blocks = blocks.select("h", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "class")
+    coded = led.join(sets, "class").join(whole, "leader")
+    coded = staged(coded.select("class", "leader", _difference()("elements", "elements_leader").alias("d")).select("class", "leader", "d.*"), "coded")
+    blocks = in_blocks(near)
     members = blocks.join(coded, "class")
-    leaders = blocks.join(coded.select("class", "leader"), "class").select("h", "lo", "hi", "leader").distinct()
+    leaders = blocks.join(coded.where("NOT whole").select("class", "leader"), "class").select("h", "lo", "hi", "leader").distinct()
     leaders = leaders.join(whole, "leader").select(F.col("h").alias("h_2"), F.col("lo").alias("lo_2"), F.col("hi").alias("hi_2"), F.col("leader").alias("leader_2"), F.col("elements_leader").alias("elements"))
     met = members.groupBy("h", "lo", "hi").cogroup(leaders.groupBy("h_2", "lo_2", "hi_2"))
     return met.applyInPandas(_block_links(percent), "a bigint, b bigint").distinct()
@@ -424,18 +471,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         heads = heads.join(cool, "class", "left").select("class", "n", F.coalesce("cool", "head").alias("head"))
     listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.posexplode("head").alias("at", "h"))
     # The list lengths come by a join on the element; single entries, most of all, end here.
-    length = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.sum("n").alias("elements_in")).where("k > 1")
+    length = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("low")).where("k > 1")
     # An element so late in a head that no set of the list is small enough for it ends here too.
     partner = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / F.lit(100)))
     early = F.col("at") <= F.col("n") - F.ceil(percent * (F.col("n") + partner) / F.lit(100 + percent))
     listed = staged(listed.join(length, "h").where(early), "lists")
     pairs = list_pairs(listed.where(F.col("k") <= SHORT_LIST), percent, limit + 1)
     pairs = staged(near_pairs(pairs, classes, percent), "pairs")
-    long = listed.where(F.col("k") > SHORT_LIST)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
-    whole = whole_sets(asked, rows, shingle)
+    whole = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), rows, shingle)
     links = light_links(classes, limit, percent).unionByName(linked_pairs(pairs, whole, percent))
-    links = links.unionByName(family_links(long, whole, percent))
+    links = links.unionByName(family_links(listed.where(F.col("k") > SHORT_LIST), classes, rows, shingle, percent))
     roots = staged(components(links), "roots")
     owned = classes.select("class", "low").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))

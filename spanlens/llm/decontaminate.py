@@ -142,7 +142,8 @@ def _scan(block):
             })
         return pa.array(out, RESULT_TYPE)
 
-    return scan
+    # Else a filter on the result would run it once more.
+    return scan.asNondeterministic()
 
 
 def _merged(spans: F.Column) -> F.Column:

@@ -84,20 +84,20 @@ def _sets(length: int, percent: int):
 
 
 def _cool_heads(length: int, percent: int, hot):
-    """Arrow UDF: class and head with frequent elements last, of sets whose plain head holds a frequent one; else null."""
+    """Class and head with frequent elements last, of the sets whose plain head holds a frequent one."""
+    schema = pa.schema([("class", pa.int64()), ("cool", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<class:bigint,head:array<bigint>>")
-    def heads(texts: pa.Array) -> pa.Array:
-        out = []
-        for raw in raw_texts(texts):
-            s = shingle_set(raw, length)
-            p = head_size(len(s), percent) if len(s) else 0
-            if not found_in(hot.value, s[:p])[0].any():
-                out.append(None)
-                continue
-            often = found_in(hot.value, s)[0]
-            out.append({"class": class_number(s), "head": np.concatenate([s[~often], s[often]])[:p].view(np.int64)})
-        return pa.array(out, pa.struct([("class", pa.int64()), ("head", pa.list_(pa.int64()))]))
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = [], []
+            for raw in raw_texts(batch.column(0)):
+                s = shingle_set(raw, length)
+                p = head_size(len(s), percent) if len(s) else 0
+                if found_in(hot.value, s[:p])[0].any():
+                    often = found_in(hot.value, s)[0]
+                    names.append(class_number(s))
+                    out.append(np.concatenate([s[~often], s[often]])[:p].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
     return heads
 
@@ -222,17 +222,19 @@ def _joined(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _candidate_sets(length: int, asked):
-    """Arrow UDF: class and whole set of texts whose class may be asked for; else null."""
+    """Class and whole set of the texts whose class may be asked for."""
+    schema = pa.schema([("class", pa.int64()), ("elements", pa.binary())])
 
-    @F.arrow_udf("struct<class:bigint,elements:binary>")
-    def sets(texts: pa.Array) -> pa.Array:
-        out = []
-        for raw in raw_texts(texts):
-            s = shingle_set(raw, length)
-            c = class_number(s) if len(s) else 0
-            wanted = len(s) and asked.value.maybe(np.array([c], np.int64).view(np.uint64))[0]
-            out.append({"class": c, "elements": s.tobytes()} if wanted else None)
-        return pa.array(out, pa.struct([("class", pa.int64()), ("elements", pa.binary())]))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = [], []
+            for raw in raw_texts(batch.column(0)):
+                s = shingle_set(raw, length)
+                c = class_number(s) if len(s) else 0
+                if len(s) and asked.value.maybe(np.array([c], np.int64).view(np.uint64))[0]:
+                    names.append(c)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
     return sets
 
@@ -259,7 +261,7 @@ def whole_sets(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     A Bloom filter of fixed size leaves out the texts of other classes before anything is shuffled.
     """
     wanted = texts.sparkSession.sparkContext.broadcast(MemberFilter(asked, "class"))
-    found = texts.select(_candidate_sets(length, wanted)("text").alias("s")).where("s IS NOT NULL").select("s.*")
+    found = texts.select("text").mapInArrow(_candidate_sets(length, wanted), "class bigint, elements binary")
     return staged(found.groupBy("class").agg(F.first("elements").alias("elements")), "sets")
 
 
@@ -466,8 +468,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     limit = boundary(sizes, tail, list_length, percent)
     if len(often):
         hot = context.broadcast(often)
-        cool = rows.select(_cool_heads(shingle, percent, hot)("text").alias("s")).where("s IS NOT NULL").select("s.*")
-        cool = staged(cool.groupBy("class").agg(F.first("head").alias("cool")), "heads")
+        cool = rows.select("text").mapInArrow(_cool_heads(shingle, percent, hot), "class bigint, cool array<bigint>")
+        cool = staged(cool.groupBy("class").agg(F.first("cool").alias("cool")), "heads")
         heads = heads.join(cool, "class", "left").select("class", "n", F.coalesce("cool", "head").alias("head"))
     listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.posexplode("head").alias("at", "h"))
     # The list lengths come by a join on the element; single entries, most of all, end here.

@@ -338,7 +338,8 @@ def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bo
                 held, size = [], 0
         return pa.array(out + label(held), RESULT_TYPE)
 
-    return docs.withColumn(fresh(docs, "language"), tag(F.col(f"`{text}`")))
+    # Else a filter on the result would run it once more.
+    return docs.withColumn(fresh(docs, "language"), tag.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def is_held_out(key: Column) -> Column:

@@ -45,7 +45,8 @@ def _cut(window: int):
             out.append({"text": kept_text, "n_lines": number, "n_removed": removed})
         return pa.array(out, result)
 
-    return cut
+    # Else a filter on the result would run it once more.
+    return cut.asNondeterministic()
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

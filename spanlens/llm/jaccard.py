@@ -84,24 +84,35 @@ def _sets(length: int, percent: int):
 
 
 def _cool_heads(length: int, percent: int, hot):
-    """Class and head with frequent elements last, of the sets whose plain head holds a frequent one."""
-    schema = pa.schema([("class", pa.int64()), ("cool", pa.list_(pa.int64()))])
+    """Class, size and head with frequent elements last, of the sets whose plain head holds a frequent one."""
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int64()))])
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, out = [], []
+            names, sizes, out = [], [], []
             for raw in raw_texts(batch.column(0)):
                 s = shingle_set(raw, length)
                 p = head_size(len(s), percent) if len(s) else 0
                 if found_in(hot.value, s[:p])[0].any():
                     often = found_in(hot.value, s)[0]
                     names.append(class_number(s))
+                    sizes.append(len(s))
                     out.append(np.concatenate([s[~often], s[often]])[:p].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
     return heads
 
 
+def _is_cool(hot):
+    """Arrow UDF: whether a head holds no frequent element."""
+
+    @F.arrow_udf("boolean")
+    def cool(heads: pa.Array) -> pa.Array:
+        return pa.array([not found_in(hot.value, row.values.to_numpy().view(np.uint64))[0].any() for row in heads], pa.bool_())
+
+    return cool
+
+
 def subset_sizes(n: int, percent: int) -> list[int]:
     """The intersections that link a set of n elements to some set of its own or another size."""
     return sorted({needed(n, m, percent) for m in range(-(-percent * n // 100), 100 * n // percent + 1) if needed(n, m, percent) <= min(n, m)})
@@ -468,9 +479,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     limit = boundary(sizes, tail, list_length, percent)
     if len(often):
         hot = context.broadcast(often)
-        cool = rows.select("text").mapInArrow(_cool_heads(shingle, percent, hot), "class bigint, cool array<bigint>")
-        cool = staged(cool.groupBy("class").agg(F.first("cool").alias("cool")), "heads")
-        heads = heads.join(cool, "class", "left").select("class", "n", F.coalesce("cool", "head").alias("head"))
+        made = rows.select("text").mapInArrow(_cool_heads(shingle, percent, hot), "class bigint, n bigint, head array<bigint>")
+        made = staged(made.groupBy("class").agg(F.first("n").alias("n"), F.first("head").alias("head")), "heads")
+        # The other heads stay as they are, where they are.
+        heads = heads.where(_is_cool(hot)("head")).unionByName(made)
     listed = heads.where(F.col("n") >= -(-percent * (limit + 1) // 100)).select("class", "n", F.posexplode("head").alias("at", "h"))
     # The list lengths come by a join on the element; single entries, most of all, end here.
     length = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("low")).where("k > 1")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from spanlens.catalog import answers, graphs, logs, questions, search, timeline  # noqa: F401
+    from spanlens.catalog import answers, files, graphs, logs, questions, search, timeline  # noqa: F401

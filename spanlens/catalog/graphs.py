@@ -186,8 +186,9 @@ e AS MATERIALIZED (SELECT video_id, event_index, 'event:' || video_id || ':' ||
 
 
 def _assigned(spark, sf_dir, extra=()):
-    signed = normalize.with_signature(_normalized(spark, sf_dir))
-    return events.assign_events(signed, extra=extra, range_width=32)
+    # Written once: the event pass reads clips twice, and normalising them is the dear part.
+    signed = cut_lineage(normalize.with_signature(_normalized(spark, sf_dir)))
+    return events.assign_events(signed, extra=extra)
 
 
 def _events(spark, sf_dir):
@@ -353,9 +354,13 @@ def concept_table(spark, sf_dir):
     return graph.concept_table(_normalized(spark, sf_dir)).select("video_id", "category", "canonical", "mention_count", "clip_count")
 
 
+# A quotient of whole ten-thousandths, rounded half to even.
+_FOUR = "CAST((({top}) // ({down})) + CASE WHEN 2 * (({top}) % ({down})) > ({down}) OR (2 * (({top}) % ({down})) = ({down}) AND (({top}) // ({down})) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10000.0"
+
+
 @query(
     "support_summary",
-    f"{_EVENT_CTE} SELECT video_id, count(*) AS count, min(s) AS minimum, CAST(printf('%.4f', avg(s)) AS DOUBLE) AS mean, CAST(printf('%.4f', median(s)) AS DOUBLE) AS median, max(s) AS maximum FROM (SELECT video_id, CAST(printf('%.4f', support) AS DOUBLE) AS s FROM e) GROUP BY 1",
+    f"{_EVENT_CTE} SELECT video_id, count(*) AS count, min(s) AS minimum, {_FOUR.format(top='sum(t)', down='count(*)')} AS mean, {_FOUR.format(top='CAST(median(t) * 2 AS BIGINT)', down='2')} AS median, max(s) AS maximum FROM (SELECT video_id, CAST(printf('%.4f', support) AS DOUBLE) AS s, CAST(round(CAST(printf('%.4f', support) AS DOUBLE) * 10000) AS BIGINT) AS t FROM e) GROUP BY 1",
 )
 def support_summary(spark, sf_dir):
     out = graph.score_summary(_events(spark, sf_dir), "structural_support_score")
@@ -413,7 +418,8 @@ ql AS MATERIALIZED (SELECT question_id, video_id, {attributes_sql('ql')} AS attr
         FROM ql LEFT JOIN qt USING (question_id) GROUP BY 1""",
 )
 def normalized_questions(spark, sf_dir):
-    n = graphquery.normalize_questions(graph_questions(spark, sf_dir), graphquery.recording_terms(_events(spark, sf_dir)))
+    terms = graphquery.recording_terms(cut_lineage(_events(spark, sf_dir).select("video_id", "predicates", "concepts")))
+    n = graphquery.normalize_questions(graph_questions(spark, sf_dir), terms)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
     return n.select(
         "question_id", F.array_join("query_predicates", ",").alias("predicates"), F.array_join("query_concepts", ",").alias("concepts"),
@@ -471,5 +477,7 @@ def event_frame_groups(spark, sf_dir):
         F.col("event_id").alias("question_id"), "video_id", "event_id", (F.col("event_index") % 2 == 0).alias("prefer_onset")
     )
     names = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.col("clip_id"), F.lit("/"), i.cast("string")))
-    good, _ = graphquery.event_frame_groups(chosen, built, assigned.select("video_id", "clip_id", "start_seconds", "end_seconds", names.alias("frame_paths")), 4)
-    return good.drop("question_id")
+    # One more request names an event that its recording does not have.
+    chosen = chosen.unionByName(built.select(F.concat(F.lit("lost"), "event_id").alias("question_id"), "video_id", F.concat("event_id", F.lit("x")).alias("event_id"), F.lit(True).alias("prefer_onset")))
+    good, bad = graphquery.event_frame_groups(chosen, built, assigned.select("video_id", "clip_id", "start_seconds", "end_seconds", names.alias("frame_paths")), 4)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True).drop("question_id")

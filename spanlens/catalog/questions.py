@@ -10,12 +10,10 @@ from spanlens.functions import timetext
 from spanlens.operators import evidence, metrics
 
 # Checked with patterns written out for the SQL side; the engine is RE2 there.
-_CODE = r"(\d{1,2}:\d{2}(?::\d{2})?)"
-_LEAD, _PLEAD = r"(?i)(?:from|between|spanning|during|interval|at)\s+", r"(?i)(?:around|near|about|at)\s+"
-_RC = rf"{_LEAD}{_CODE}\s*(?:to|and|-)\s*{_CODE}"
-_RS = rf"{_LEAD}(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)\s*(?:to|and|-)\s*(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)"
-_PC = rf"{_PLEAD}{_CODE}"
-_PS = rf"{_PLEAD}(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)"
+_RC = r"(?i)(?:from|between|spanning|during|interval|at)\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*(?:to|and|-)\s*(\d{1,2}:\d{2}(?::\d{2})?)"
+_RS = r"(?i)(?:from|between|spanning|during|interval|at)\s+(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)\s*(?:to|and|-)\s*(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)"
+_PC = r"(?i)(?:around|near|about|at)\s+(\d{1,2}:\d{2}(?::\d{2})?)"
+_PS = r"(?i)(?:around|near|about|at)\s+(?:second(?:s)?\s*)?(\d+(?:\.\d+)?)"
 
 
 def _sec(code: str) -> str:

@@ -245,12 +245,10 @@ def assembled_evidence(spark, sf_dir):
 @query(
     "extractive_answers",
     f"""SELECT q.qa_uid, CASE WHEN h.qa_uid IS NULL THEN '未检索到与问题相关的视频证据。' ELSE '根据最相关视频片段（' || printf('%.1f', start_seconds) || 's–' || printf('%.1f', end_seconds) ||
-        's），需要由医学语言模型结合该片段内容给出最终回答。' END AS prediction FROM ({_VQ}) q LEFT JOIN (SELECT * FROM ({HYBRID_SQL}) WHERE rank = 1 AND route = 'temporal' AND qa_uid % 3 = 0) h USING (qa_uid)""",
+        's），需要由医学语言模型结合该片段内容给出最终回答。' END AS prediction FROM ({_VQ}) q LEFT JOIN (SELECT * FROM ({HYBRID_SQL}) WHERE rank = 1) h USING (qa_uid)""",
 )
 def extractive_answers(spark, sf_dir):
-    # Ranges only: the other questions stay without a hit and get the fixed text.
-    asked, _ = hybrid(spark, sf_dir)
-    hits = retrieve.retrieve_ranges(asked, index_rows(spark, sf_dir), K)
+    asked, hits = hybrid(spark, sf_dir)
     return retrieve.extractive_answers(asked, hits).select("qa_uid", "prediction")
 
 

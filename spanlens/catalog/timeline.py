@@ -178,13 +178,15 @@ def _with_frames(clips):
     "even_clip_selection",
     f"""WITH full_clips AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY clip_index) - 1 AS pos,
             count(*) OVER (PARTITION BY video_id) AS n FROM ({FIXED_CLIPS_SQL}) WHERE sampled_frame_count = 64)
-        SELECT video_id, j AS selection_index, clip_index FROM full_clips, (SELECT unnest(generate_series(0, 9)) AS j)
-        WHERE n >= 10 AND pos = CAST(round_even(j * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT)""",
+        SELECT video_id, j AS selection_index, clip_index, NULL AS reason FROM full_clips, (SELECT unnest(generate_series(0, 9)) AS j)
+        WHERE n >= 10 AND pos = CAST(round_even(j * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT)
+        UNION ALL SELECT DISTINCT video_id, NULL, NULL, 'too_few_clips' FROM full_clips WHERE n < 10""",
 )
 def even_clip_selection(spark, sf_dir):
     clips = _with_frames(windows.clips_of_plans(plans(spark, sf_dir, "fixed_rate")))
-    chosen = windows.select_even_clips(windows.full_clips(clips), 10)
-    return chosen.select("video_id", "selection_index", "clip_index")
+    chosen, short = windows.select_even_clips(windows.full_clips(clips), 10)
+    chosen = chosen.select("video_id", "selection_index", "clip_index", F.lit(None).cast("string").alias("reason"))
+    return chosen.unionByName(short.select("video_id", "reason"), allowMissingColumns=True)
 
 
 @query(

@@ -23,7 +23,7 @@ def strings(values: Sequence[str]) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Lower case, one space between words, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text.cast("string")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text.cast("string")), r"(?U)\s+", " "))
 
 
 def entity(clean: Column, hint: Column, rules=None) -> Column:
@@ -44,6 +44,11 @@ def entity(clean: Column, hint: Column, rules=None) -> Column:
     return chain.otherwise(value("generic_object", F.coalesce(hint, F.lit("object"))))
 
 
+def any_entity(rules=None) -> str:
+    """A pattern that fits whatever some entity rule fits."""
+    return "|".join(f"(?:{pattern})" for pattern, _, _ in rules or vocab.ENTITY_RULES)
+
+
 def rule_canonical(clean: Column, rules=None) -> Column:
     """Canonical of the first entity rule that fits, null when only a fallback would."""
     chain = None

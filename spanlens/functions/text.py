@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from spanlens.functions import vocab
 from spanlens.functions.rules import strings
 
-CHOICE_LABEL = r"^\s*([A-Za-z0-9]+)[.):：]\s*"
+CHOICE_LABEL = r"(?U)^\s*([A-Za-z0-9]+)[.):：]\s*"
 IMAGE_DATA = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def safe_key(value: Column) -> Column:
     """Path-safe stable key: cleaned head of the id plus ten hex digits of its SHA-1."""
     clean = F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "_")
@@ -42,20 +47,20 @@ def lexical_tokens(text: Column, stopwords: Sequence[str] | None = None) -> Colu
     return F.filter(kept, lambda t: F.length(t) > 1)
 
 
-def contains_phrase(text: Column, phrase: str) -> Column:
-    """Constant phrase inside a text, not touching other letters or digits."""
-    quoted = "".join("\\" + c if not c.isalnum() and c not in " _" else c for c in phrase)
-    return text.rlike(f"(?<![a-z0-9]){quoted}(?![a-z0-9])")
+def _quoted(phrase: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c not in " _" else c for c in phrase)
+
+
+def contains_phrase(text: Column, *phrases: str) -> Column:
+    """Any of the constant phrases inside a text, not touching other letters or digits."""
+    return text.rlike(f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, phrases))})(?![a-z0-9])")
 
 
 def phrase_hits(text: Column, phrases: dict[str, Sequence[str]]) -> Column:
     """Names whose phrase list occurs in the text, as an array in table order."""
     hits = []
     for name, options in phrases.items():
-        test = contains_phrase(text, options[0])
-        for option in options[1:]:
-            test = test | contains_phrase(text, option)
-        hits.append(F.when(test, name))
+        hits.append(F.when(contains_phrase(text, *options), name))
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
@@ -110,5 +115,5 @@ def scrub_error(message: Column, limit: int = 2000) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for blank text."""
-    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"\s+")))
+    clean = strip(text)
+    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"(?U)\s+")))

@@ -41,7 +41,8 @@ def phase_anchors(stated: DataFrame, windows: DataFrame, shortest_key: int = 4)
     """(video_id, qa_uid, phase_key, windows, first_seen) for questions whose text contains a phase key.
 
     Instead of testing every question against every phase of its recording, both sides meet on a gram:
-    the first ``shortest_key`` letters of the key must occur in the text. Only those pairs are tested.
+    the first ``shortest_key`` letters of the key must occur in the text. Grams travel without the text;
+    it joins the pairs that meet, and only those are tested.
     """
     keys = (
         windows.filter(F.length("phase_key") >= shortest_key)
@@ -52,12 +53,14 @@ def phase_anchors(stated: DataFrame, windows: DataFrame, shortest_key: int = 4)
     folded = timetext.fold_text(F.array_join(F.transform(_texts(stated), lambda t: t["text"]), " "))
     asked = stated.filter(F.col("stated").isNull()).select("video_id", "qa_uid", folded.alias("_text"))
     starts = F.sequence(F.lit(1), F.length("_text") - (shortest_key - 1))
-    grams = asked.filter(F.length("_text") >= shortest_key).withColumn(
-        "_gram",
-        F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.substring("_text", i, F.lit(shortest_key))))),
+    grams = asked.filter(F.length("_text") >= shortest_key).select(
+        "video_id",
+        "qa_uid",
+        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_text", i, F.lit(shortest_key))))).alias("_gram"),
     )
     return (
         grams.join(keys, ["video_id", "_gram"])
+        .join(asked, ["video_id", "qa_uid"])
         .filter(F.contains("_text", "phase_key"))
         .select("video_id", "qa_uid", "phase_key", "windows", "first_seen")
     )

@@ -21,7 +21,7 @@ def first_choice(questions: DataFrame, options: str = "options") -> DataFrame:
 def read_choices(replies: DataFrame, reply: str = "reply", options: str = "options") -> DataFrame:
     """Choice and rationale from replies that should be a JSON object; every failure is named."""
     body = replies.withColumn("_json", text.json_object_text(F.col(reply)))
-    choice = F.upper(F.trim(F.get_json_object("_json", "$.choice")))
+    choice = F.upper(text.strip(F.get_json_object("_json", "$.choice")))
     body = body.withColumn("_choice", choice).withColumn("_labels", text.choice_labels(F.col(options)))
     error = (
         F.when(F.col("_json").isNull(), "no_json_object")
@@ -97,12 +97,12 @@ def repair_event_ids(replies: DataFrame, known_events: DataFrame, top_events: in
         (tries["video_id"] == known_events["video_id"]) & (F.col("_try.id") == F.col("_known")),
         "left_semi",
     )
-    chosen = found.groupBy("question_id", "_pos").agg(F.min("_try").alias("_t"))
-    firsts = chosen.groupBy("question_id", F.col("_t.id").alias("event_id")).agg(F.min("_pos").alias("_pos"))
-    kept = firsts.groupBy("question_id").agg(
+    chosen = found.groupBy("video_id", "question_id", "_pos").agg(F.min("_try").alias("_t"))
+    firsts = chosen.groupBy("video_id", "question_id", F.col("_t.id").alias("event_id")).agg(F.min("_pos").alias("_pos"))
+    kept = firsts.groupBy("video_id", "question_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("_pos", "event_id"))), 1, top_events).alias("_e")
     )
-    return replies.select("question_id", "video_id").join(kept, "question_id", "left").select(
+    return replies.select("question_id", "video_id").join(kept, ["video_id", "question_id"], "left").select(
         "question_id",
         "video_id",
         F.coalesce(F.col("_e.event_id"), F.array().cast("array<string>")).alias("event_ids"),

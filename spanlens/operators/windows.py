@@ -230,21 +230,20 @@ def even_positions(total: Column, count: int) -> Column:
     )
 
 
-def select_even_clips(eligible: DataFrame, count: int, order: str = "clip_index") -> DataFrame:
-    """``count`` clips per recording in even steps; recordings with fewer clips give no rows.
+def select_even_clips(eligible: DataFrame, count: int, order: str = "clip_index") -> tuple[DataFrame, DataFrame]:
+    """``count`` clips per recording in even steps, and the recordings that have fewer, with their number.
 
     Positions come from a dense numbering inside each recording.
     """
     if count <= 0:
         raise ValueError("count must be positive")
     numbered = with_position(eligible, "video_id", order, order, "_pos")
-    wanted = (
-        eligible.groupBy("video_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= count)
-        .select("video_id", F.posexplode(even_positions(F.col("_n"), count)).alias("selection_index", "_pos"))
+    sizes = eligible.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.filter(F.col("_n") >= count).select(
+        "video_id", F.posexplode(even_positions(F.col("_n"), count)).alias("selection_index", "_pos")
     )
-    return numbered.join(wanted, ["video_id", "_pos"]).drop("_pos")
+    short = sizes.filter(F.col("_n") < count).select("video_id", F.col("_n").alias("clips"), F.lit("too_few_clips").alias("reason"))
+    return numbered.join(wanted, ["video_id", "_pos"]).drop("_pos"), short
 
 
 def select_clips_by_index(clips: DataFrame, indices: list[int], frames_per_request: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlens.catalog import graphs, inputs
-from spanlens.functions import rules
+from spanlens.functions import rules, vocab
 from spanlens.operators import events, graph, graphquery, normalize
 from spanlens.plans.ordered import capped_runs, with_position, with_previous
 from tests import brute
@@ -12,9 +12,9 @@ from tests import brute
 CLIP = "clip_id string, video_id string, clip_index int, start_seconds double, end_seconds double, description " + normalize.DESCRIPTION_TYPE
 
 
-def clip(i, action, subject, target, anatomy=("reddish tissue", "tubular structure"), tools=("metal forceps",), objects=("blue thread-like material",)):
-    facts = (list(anatomy), list(tools), list(objects), [(subject, action, target)], ["moves"], ["seen"])
-    return (f"case_{i:05d}", "case", i, i * 64.0, (i + 1) * 64.0, ("A tool interacts with visible material.", facts, [("i", "b", "low")], [("s", "u")]))
+def clip(i, action, subject, target, anatomy=("pale membrane", "vessel"), tools=("needle holder",), objects=("suture strand",), video="v7"):
+    facts = (list(anatomy), list(tools), list(objects), [(subject, action, target)], [], ["frame shows it"])
+    return (f"{video}/{i}", video, i, 20.0 * i, 20.0 * i + 20.0, ("Work goes on.", facts, [], []))
 
 
 def build(spark, rows, **kw):
@@ -22,46 +22,44 @@ def build(spark, rows, **kw):
     return events.build_events(events.assign_events(signed), **kw).orderBy("event_index").collect()
 
 
-def test_compatible_sequence_is_one_event(spark):
-    rows = [
-        clip(0, "passes through tissue", "needle-like instrument", "reddish tissue"),
-        clip(1, "pulls thread-like material", "metal forceps", "thread-like material"),
-        clip(2, "tightens", "thread-like material", "tubular structure"),
-    ]
-    [event] = build(spark, rows)
-    assert [d.action_relation for d in event.merge_details] == ["transition", "transition"]
-    assert event.merge_details[0].compatible_transitions == [["pass_through", "pull"]]
+def stitching():
+    return [clip(0, "inserts", "needle holder", "suture"), clip(1, "guides", "needle holder", "suture"), clip(2, "passes through", "suture", "vessel")]
+
+
+def test_steps_of_one_stitch_are_one_event(spark):
+    [event] = build(spark, stitching())
+    assert event.supporting_clip_ids == ["v7/0", "v7/1", "v7/2"] and (event.start_seconds, event.end_seconds) == (0.0, 60.0)
+    assert [d.compatible_transitions for d in event.merge_details] == [[["insert", "guide"]], [["guide", "pass_through"]]]
+    assert {d.action_relation for d in event.merge_details} == {"transition"}
     assert event.support_mode == "merged_event" and 0 < event.structural_support_score < 1
-    assert len(event.representatives) == 3 and event.representative_action_coverage == 1.0
-    [small] = build(spark, rows, max_representative_clips=2)
-    last = [r for r in small.representatives if r.clip_id == "case_00002"][0]
-    assert set(last.reasons) & {"terminal_action_coverage", "covers_terminal_action"}
+    assert {r.clip_id for r in event.representatives} == set(event.supporting_clip_ids) and event.representative_action_coverage == 1.0
+    [short] = build(spark, stitching(), max_representative_clips=2)
+    assert len(short.representatives) == 2 and short.representative_action_coverage < 1.0
 
 
-def test_generic_support_and_wrong_roles_do_not_merge(spark):
-    plain = dict(anatomy=("tissue",), tools=("instrument",), objects=())
-    rows = [clip(0, "passes through", "instrument", "tissue", **plain), clip(1, "pulls", "instrument", "tissue", **plain)]
-    assert len(build(spark, rows)) == 2
-    rows = [clip(0, "holds", "metal forceps", "tubular structure"), clip(1, "holds", "needle-like instrument", "thread-like material")]
-    out = build(spark, rows)
-    assert [e.support_mode for e in out] == ["singleton_evidence"] * 2
-    assert out[0].support_components.mean_transition_score is None
+def test_what_all_clips_show_links_none(spark):
+    vague = dict(anatomy=("tissue",), tools=("tool",), objects=())
+    assert len(build(spark, [clip(0, "inserts", "tool", "tissue", **vague), clip(1, "guides", "tool", "tissue", **vague)])) == 2
+    # The same action on other things in other roles.
+    apart = build(spark, [clip(0, "presses", "probe", "vessel", objects=("mesh",)), clip(1, "presses", "scissors", "suture", anatomy=("organ",))])
+    assert [(e.support_mode, e.support_components.mean_transition_score) for e in apart] == [("singleton_evidence", None)] * 2
 
 
-def test_exact_actions_merge(spark):
-    rows = [clip(i, "grasps and pulls", "metal forceps", "tubular structure") for i in (0, 1)]
-    rows.append(clip(2, "contacts", "probe", "reddish tissue"))
-    assert [e.supporting_clip_ids for e in build(spark, rows)] == [["case_00000", "case_00001"], ["case_00002"]]
+def test_repeated_action_goes_on_until_another(spark):
+    rows = [clip(i, "cuts", "scissors", "mesh", tools=("scissors",), objects=("mesh",)) for i in range(3)]
+    rows.append(clip(3, "emits light", "probe", "organ", anatomy=("organ",), tools=("probe",), objects=()))
+    assert [e.supporting_clip_ids for e in build(spark, rows)] == [["v7/0", "v7/1", "v7/2"], ["v7/3"]]
+    assert [len(e.supporting_clip_ids) for e in build(spark, [clip(i, "cuts", "scissors", "mesh", tools=("scissors",), objects=("mesh",)) for i in range(7)])] == [5, 2]
 
 
 def test_normalisation_facts(spark):
-    cases = {"metal grasper": "grasping_instrument", "blood vessel": "tubular_structure", "mesh-like ring": "grid_like_material", "fatty-looking material": "generic_material"}
+    cases = {"Needle holder": "grasping_instrument", "two  suture strands": "thread_like_material", "aspiration\u3000tube": "suction_instrument", "clear fluid droplets": "clear_fluid", "odd substance": "generic_material"}
     rows = spark.createDataFrame([(k,) for k in cases], "s string")
     got = rows.select("s", rules.entity(rules.squeeze(F.col("s")), F.lit(None).cast("string"))["canonical"]).collect()
     assert {r[0]: r[1] for r in got} == cases
     phrases = {
-        "grasps and pulls": ["grasp", "pull"], "pushes through tissue": ["pass_through"], "insert into": ["insert"],
-        "forms loops around tissue": ["loop_around"], "is pulled and tightened": ["pull", "tighten"], "odd wording": ["other_action"],
+        "holds and retracts": ["hold", "pull"], "is pulling and looping": ["pull", "loop_around"], "moves through": ["pass_through"],
+        "pierced and pulled": ["pierce", "pull"], "wanders about": ["other_action"],
     }
     got = spark.createDataFrame([(k,) for k in phrases], "s string").select("s", rules.predicates(rules.squeeze(F.col("s")))).collect()
     assert {r[0]: r[1] for r in got} == phrases
@@ -158,23 +156,48 @@ def test_evidence_budget(spark, sf_dir, built):
         assert [c for _, c in sorted(have[qid])] == out[:5]
 
 
-def test_after_and_before_questions(spark):
+def test_catalogue_and_frames(built, spark):
+    assigned, table = built
+    clips = {r.clip_id: r for r in assigned.collect()}
+    rows = {(e.video_id, e.event_id): e for e in table.collect()}
+    shown = graphquery.event_catalogue(table, assigned).collect()
+    assert len(shown) == len(rows)
+    for r in shown:
+        e = rows[r.video_id, r.event_id]
+        first = clips[(e.representatives[0].clip_id if e.representatives else e.supporting_clip_ids[0])].description
+        assert (r.summary, r.visible_instruments) == (first.summary, first.observed_facts.visible_instruments[:3])
+        assert r.concepts == [c for c in e.concepts if c not in vocab.STOP_CONCEPTS] and r.predicates == e.predicates
+    there = {c: [f"{c}/{i}" for i in range(8)] for c, r in clips.items() if r.clip_index % 3}
+    frames = spark.createDataFrame([(clips[c].video_id, c, clips[c].start_seconds, clips[c].end_seconds, f) for c, f in there.items()], "video_id string, clip_id string, start_seconds double, end_seconds double, frame_paths array<string>")
+    asked = [(f"q{i}", v, e, i % 2 == 0) for i, (v, e) in enumerate(sorted(rows))] + [("lost", "0", "event:0:99999", True)]
+    chosen = spark.createDataFrame(asked, "question_id string, video_id string, event_id string, prefer_onset boolean")
+    good, bad = graphquery.event_frame_groups(chosen, table, frames, 4)
+    good, bad = {r.question_id: r for r in good.collect()}, {r.question_id: r.reason for r in bad.collect()}
+    assert bad["lost"] == "unknown_event" and len(good) + len(bad) == len(asked)
+    for name, video, event, onset in asked[:-1]:
+        e = rows[video, event]
+        order = ([] if onset else [r.clip_id for r in e.representatives]) + list(e.supporting_clip_ids)
+        want = next((c for c in order if c in there), None)
+        assert bad.get(name) == (None if want else "no_resolvable_clip")
+        if want:
+            assert good[name].clip_id == want and good[name].reader_frame_paths == [f"{want}/{i}" for i in (0, 2, 5, 7)]
+
+
+def test_questions_step_along_the_timeline(spark):
     rows = [
-        clip(0, "passes through tissue", "needle-like instrument", "reddish tissue", objects=("blue thread-like material",)),
-        clip(1, "cuts", "scissors", "reddish tissue", anatomy=("reddish tissue",), tools=("scissors",), objects=()),
-        clip(2, "tightens", "thread-like material", "tubular structure", tools=()),
+        clip(0, "grasps and holds", "grasper", "mesh", anatomy=("organ",), tools=("grasper",), objects=("mesh",)),
+        clip(1, "emits light", "probe", "pale membrane", anatomy=("pale membrane",), tools=("probe",), objects=()),
+        clip(2, "loops around", "suture", "vessel", anatomy=("vessel",), tools=()),
     ]
     signed = normalize.with_signature(normalize.normalize_clips(spark.createDataFrame(rows, CLIP)))
     table = events.build_events(events.assign_events(signed)).cache()
-    questions = spark.createDataFrame(
-        [("a", "case", "What happens after the needle-like instrument passes through the thread?"), ("b", "case", "What happens before the blue thread is tightened?"), ("c", "case", "How is the camera calibrated?")],
-        "question_id string, video_id string, question string",
-    )
+    asked = [("next", "v7", "Which step comes after the mesh is held by the grasper?"), ("earlier", "v7", "Which step comes before looping the suture?"), ("none", "v7", "Who wrote the report?")]
+    questions = spark.createDataFrame(asked, "question_id string, video_id string, question string")
     _, ranked = graphquery.retrieve_groups(questions, table, top_k=1, max_hops=1)
-    rows = {r.question_id: r for r in ranked.collect()}
-    assert rows["a"].event_ids == ["event:case:00000", "event:case:00001"]
-    assert rows["a"].reasoning_path[-2:] == ["temporal_before", "event:case:00001"]
-    assert rows["a"].expansion_reason == "query_after_context"
-    assert rows["b"].event_ids == ["event:case:00001", "event:case:00002"] and rows["b"].anchor_event_id == "event:case:00002"
-    assert rows["b"].reasoning_path[-2:] == ["inverse:temporal_before", "event:case:00001"]
-    assert [r.question_id for r in graphquery.unmatched(questions, ranked).collect()] == ["c"]
+    got = {r.question_id: r for r in ranked.collect()}
+    first, middle, last = (f"event:v7:{i:05d}" for i in range(3))
+    assert (got["next"].anchor_event_id, got["next"].event_ids) == (first, [first, middle])
+    assert got["next"].reasoning_path[-2:] == ["temporal_before", middle] and got["next"].expansion_reason == "query_after_context"
+    assert (got["earlier"].anchor_event_id, got["earlier"].event_ids) == (last, [middle, last])
+    assert got["earlier"].reasoning_path[-2:] == ["inverse:temporal_before", middle]
+    assert [r.question_id for r in graphquery.unmatched(questions, ranked).collect()] == ["none"]

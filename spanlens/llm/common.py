@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,11 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def raw_texts(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of each text, without decoding."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def raw_texts(column: pa.Array, step: int = 500) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of each text, without decoding; ``step`` texts are copied at once."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for start in range(0, len(column), step):
+        yield from column.slice(start, step).cast(kind).to_pylist()
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts, and exact unigram scores."""
+"""Language-model scores from log-frequency Bloom filters of quantised n-gram counts, and exact unigram scores."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0xA24BAED4963EE407)
 CHUNK_TOKENS = 600_000
 BUCKET_BYTES = 8_000_000
 WRITE_BUCKETS = 16
-MAX_FILTER_BITS = 1 << 28
+LEAST_PAIR = 2  # training texts must have a pair that often to be in the filter
 HEAVY = 1 << 17
 PROBES = 4
 BASE = 1.5
@@ -94,48 +94,47 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-COUNTS = "kind int, bucket int, ones binary, many binary, counts binary"
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers laid out byte by byte (all first bytes, all second ones, …) and compressed, their number in front."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(raw[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
 def counted(training: DataFrame, n_buckets: int) -> DataFrame:
-    """kind (1 words, 2 pairs), bucket, packed keys and counts: exact totals over all training texts.
+    """bucket, packed keys and counts of words: exact totals over all training texts.
 
-    A task sums up each chunk before the shuffle, so a hot n-gram leaves a chunk once; buckets are ranges of
+    A task sums up each chunk before the shuffle, so a hot word leaves a chunk once; buckets are ranges of
     hashes and their number follows the input, so one holds a few million entries at any size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, lengths in chunks(batches):
-            for kind, keys in ((1, tokens), (2, pair_hashes(previous(tokens, lengths), tokens))):
-                values, n = np.unique(keys, return_counts=True)
-                cuts = bucket_cuts(values, n_buckets)
-                rows = []
-                for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    if lo < hi:
-                        v, c = values[lo:hi], n[lo:hi]
-                        rows.append({"kind": kind, "bucket": b, "ones": pack_keys(v[c == 1]), "many": pack_keys(v[c > 1]), "counts": c[c > 1].astype("<u4").tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())]))
+        for _, tokens, _ in chunks(batches):
+            values, n = np.unique(tokens, return_counts=True)
+            cuts = bucket_cuts(values, n_buckets)
+            rows = []
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if lo < hi:
+                    v, c = values[lo:hi], n[lo:hi]
+                    rows.append({"bucket": b, "ones": pack_keys(v[c == 1]), "many": pack_keys(v[c > 1]), "counts": c[c > 1].astype("<u4").tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())]))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         ones = unpack_keys(b"".join(part["ones"]))
         many = unpack_keys(b"".join(part["many"]))
         n = np.frombuffer(b"".join(part["counts"]), "<u4").astype(np.int64)
         keys, counts = summed(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), n]))
-        kind, single = int(part["kind"].iloc[0]), counts == 1
-        total, n_ones = int(counts.sum()), int(single.sum())
-        levels = np.bincount(level(counts), minlength=1) if len(counts) else np.zeros(1, np.int64)
-        # Pairs seen once are known by their number only; words are kept whole.
-        if kind == 2:
-            keys, counts = keys[~single], counts[~single]
-        return pd.DataFrame({"kind": [kind], "bucket": [int(part["bucket"].iloc[0])], "total": [total], "distinct": [len(keys) + (n_ones if kind == 2 else 0)],
-            "levels": [levels.tolist()], "keys": [pack_keys(keys)], "counts": [counts.astype("<i8").tobytes()]})
-
-    packed = training.select("text").mapInArrow(count, COUNTS)
-    merged = packed.groupBy("kind", "bucket").applyInPandas(
-        merge, "kind int, bucket int, total bigint, distinct bigint, levels array<bigint>, keys binary, counts binary"
-    )
+        return pd.DataFrame({"bucket": [int(part["bucket"].iloc[0])], "total": [int(counts.sum())], "distinct": [len(keys)], "keys": [pack_keys(keys)], "counts": [counts.astype("<i8").tobytes()]})
+
+    packed = training.select("text").mapInArrow(count, "bucket int, ones binary, many binary, counts binary")
+    merged = packed.groupBy("bucket").applyInPandas(merge, "bucket int, total bigint, distinct bigint, keys binary, counts binary")
     # A task merges and writes WRITE_BUCKETS buckets: about 128 MB of text each.
-    return staged(merged.coalesce(max(1, n_buckets // WRITE_BUCKETS)), "ngrams")
+    return staged(merged.coalesce(max(1, n_buckets // WRITE_BUCKETS)), "words")
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -161,6 +160,27 @@ class LogFilter:
         self.block_bits = bits // n_blocks
         self.data = data
 
+    @staticmethod
+    def bits_for(members: int) -> int:
+        """A power of two at which ``members`` fill half of the bits at most."""
+        return 1 << max(10, math.ceil(math.log2(max(1.0, PROBES * members / math.log(2)))))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray) -> LogFilter:
+        """One block that holds all of ``keys``, however many there are."""
+        model = cls(cls.bits_for(int(levels.sum())), 1)
+        model.data = np.packbits(model.filled(keys, levels), bitorder="little")
+        return model
+
+    def filled(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """The bits of one block with the members of its keys."""
+        block = np.zeros(self.block_bits, bool)
+        for member in range(1, int(levels.max(initial=0)) + 1):
+            keys, levels = keys[levels >= member], levels[levels >= member]
+            for probe in range(PROBES):
+                block[self.places(keys, member, probe).astype(np.int64)] = True
+        return block
+
     def places(self, keys: np.ndarray, member: int, probe: int) -> np.ndarray:
         """The bit inside the key's block that a member's probe looks at."""
         x = keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64((member * PROBES + probe + 1) * 0xA0761D6478BD642F % 2**64)
@@ -189,25 +209,20 @@ class LogFilter:
 
 
 def build_filter(grams: DataFrame, max_bits: int, n_buckets: int) -> LogFilter:
-    """The filter of all n-grams at or above a cutoff level, built bucket by bucket in tasks and sent to the driver as bits.
+    """The filter of all counted words in one piece, built bucket by bucket in tasks and sent to the driver as bits.
 
-    Its size follows the n-grams up to ``max_bits``, which bounds what is broadcast. Beyond it the lowest
-    levels of pairs, then of words, are left out until the members fit at half-full bits.
+    For tables whose filter fits ``max_bits``; a larger one is refused, nothing is left out of it. ``score`` has no
+    such bound: it builds and asks one block in each bucket.
     """
-    rows = grams.select("kind", F.posexplode("levels").alias("level", "n")).where("level > 0").groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()  # under 100 rows
-    members = {(r["kind"], r["level"]): r["n"] * r["level"] for r in rows}
-    cut = {1: 1, 2: 2}
-
-    def load() -> float:
-        return PROBES * sum(m for (kind, lev), m in members.items() if lev >= cut[kind]) / math.log(2)
-
-    highest = max([lev for _, lev in members], default=1)
-    while load() > max_bits and cut[2] <= highest:
-        cut[2] += 1
-    while load() > max_bits and cut[1] <= highest:
-        cut[1] += 1
-    bits = 1 << max(16, math.ceil(math.log2(max(load(), 1))))
-    bits = min(bits, max_bits)
+
+    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"n": [sum(int(level(np.frombuffer(n, "<i8")).sum()) for n in df["counts"])]})
+
+    members = grams.select("counts").mapInPandas(size, "n bigint").agg(F.sum("n")).first()[0] or 0
+    bits = LogFilter.bits_for(members)
+    if bits > max_bits:
+        raise ValueError(f"the filter takes {bits} bits, more than {max_bits}")
     n_blocks = min(n_buckets, bits // 1024)
     model = LogFilter(bits, n_blocks)
     shift = int(math.log2(n_buckets))
@@ -215,16 +230,8 @@ def build_filter(grams: DataFrame, max_bits: int, n_buckets: int) -> LogFilter:
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros(model.block_bits, bool)
-        for kind, bucket, raw, n in zip(part["kind"], part["bucket"], part["keys"], part["counts"]):
-            keys = unpack_keys(raw) & np.uint64((1 << KEY_BITS) - 1)
-            q = level(np.frombuffer(n, "<i8"))
-            keys = gram_keys(keys, int(bucket), shift, int(kind))
-            keep = q >= cut[int(kind)]
-            keys, q = keys[keep], q[keep]
-            for member in range(1, int(q.max(initial=0)) + 1):
-                keys, q = keys[q >= member], q[q >= member]
-                for probe in range(PROBES):
-                    block[model.places(keys, member, probe).astype(np.int64)] = True
+        for bucket, raw, n in zip(part["bucket"], part["keys"], part["counts"]):
+            block |= model.filled(gram_keys(unpack_keys(raw), int(bucket), shift, 1), level(np.frombuffer(n, "<i8")))
         return pd.DataFrame({"block": [int(part["bucket"].iloc[0]) // per], "bits": [np.packbits(block, bitorder="little").tobytes()]})
 
     spread = grams.withColumn("block", F.expr(f"bucket div {per}"))
@@ -263,14 +270,35 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def pair_levels(part: pd.DataFrame, shift: int) -> list[bytes]:
+    """The level of each asked pair of each chunk (one byte a pair), from a filter of all training pairs of one bucket.
+
+    Rows have packed keys, each once a chunk, and how often training texts of the chunk have it: one byte, 255 for
+    a count that stands in ``over``. A pair that only held-out texts have is asked for but not stored.
+    """
+    keys = [unpack_keys(raw) for raw in part["keys"]]
+    counts = np.frombuffer(b"".join(part["counts"]), np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(b"".join(part["over"]), "<u4")
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, counts, len(distinct)).astype(np.int64)
+    distinct = gram_keys(distinct, int(part["bucket"].iloc[0]), shift, 2)
+    stored = total >= LEAST_PAIR
+    levels = LogFilter.of(distinct[stored], level(total[stored])).levels(distinct).astype(np.uint8)[at]
+    return [x.tobytes() for x in np.split(levels, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     Training texts are those not held out. ``score`` sums log10 of MIX * c(v, w) / c(v) + (1 - MIX) * (c(w) + 1)
-    / (N + V + 1), with counts read from the broadcast filter; a text starts after a begin mark and ends with
-    the end token. ``base_score`` uses exact counts of words alone: words that make up at least N / HEAVY of
-    all tokens (at most HEAVY of them) are sent along, all others meet their counts by a join on hash buckets,
-    packed per chunk of texts, and return as one sum per text.
+    / (N + V + 1), with quantised counts; a text starts after a begin mark and ends with the end token.
+    ``base_score`` uses exact counts of words alone.
+
+    Words are counted first. Words that make up at least N / HEAVY of all tokens (at most HEAVY of them) are
+    sent along; all others, and all pairs, meet their counts on hash buckets: each chunk of texts sends its
+    distinct keys once, a bucket counts the pairs of the training texts, builds the filter block that holds
+    them, and answers every chunk from it. Blocks grow in number with the input, not in size, and nothing is
+    left out of them. The answers meet the chunk's tokens, which travel as numbers of its distinct words.
 
     Words are told apart by 64-bit hashes (stored with a bucket number and 48 bits). Null or empty text: the
     end token alone. Null key: trains, not held out. Repeated rows: each trains and each gets its scores. No
@@ -281,8 +309,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = 1 << max(4, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     shift = int(math.log2(n_buckets))
-    grams = counted(rows.where(~F.col("held")), n_buckets)
-    words = grams.where("kind = 1")
+    words = counted(rows.where(~F.col("held")), n_buckets)
     totals = words.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, n_distinct = totals["n"] or 0, totals["v"] or 0
     least = max(1, math.ceil(n_train / HEAVY))
@@ -297,94 +324,79 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     top = words.select("bucket", "keys", "counts").mapInPandas(heavy, "k bigint, c bigint").toPandas()  # HEAVY rows at most
     top_keys = top["k"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top_keys)
-    sent = spark.sparkContext.broadcast((build_filter(grams, max_filter_bits, n_buckets), top_keys[order], top["c"].to_numpy(np.int64)[order]))
+    sent = spark.sparkContext.broadcast((top_keys[order], top["c"].to_numpy(np.int64)[order]))
     norm = float(n_train + n_distinct + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top_keys, top_counts = sent.value
+        top_keys = sent.value[0]
         task, number = TaskContext.get().partitionId(), 0
         for batch, tokens, lengths in chunks(batches):
             name = (task << 32) + number
             number += 1
-            owner = np.repeat(np.arange(len(lengths)), lengths)
             values, inverse = np.unique(tokens, return_inverse=True)
-            plain = asked_keys(values, shift, 0)
-            known, at = found_in(top_keys, plain)
-            exact = np.where(known, top_counts[at] if len(top_counts) else 0, 0)
-            base = np.bincount(owner, np.log10(exact + 1.0)[inverse], len(lengths))
-            n_known = np.bincount(owner, known[inverse], len(lengths)).astype(np.int64)
-            c_word = level_value(model.levels(asked_keys(values, shift, 1)))
-            c_begin = level_value(model.levels(asked_keys(np.array([END]), shift, 1)))[0]
-            lower = (c_word[inverse] + 1) / norm
-            before = previous(tokens, lengths)
-            c_before = np.empty(len(tokens))
-            c_before[1:] = c_word[inverse][:-1]
-            c_before[np.cumsum(lengths) - lengths] = c_begin
-            c_pair = level_value(model.levels(asked_keys(pair_hashes(before, tokens), shift, 2)))
-            seen = c_before > 0
-            ratio = np.minimum(1.0, c_pair / np.where(seen, c_before, 1.0))
-            p = np.where(seen, MIX * ratio + (1 - MIX) * lower, lower)
-            total = np.bincount(owner, np.log10(p), len(lengths))
-            docs_out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lengths.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(total)],
-                names=["key", "held", "n_tokens", "n_known", "base", "score"],
-            )
-            out = [{"bucket": -1 - name % n_buckets, "chunk": name, "owner": b"", "keys": _ipc(docs_out), "tf": b""}]
-            rare = ~known[inverse]
-            pairs, tf = np.unique(inverse[rare].astype(np.int64) * len(lengths) + owner[rare], return_counts=True)
-            word, who = pairs // len(lengths), pairs % len(lengths)
-            cuts = bucket_cuts(values[word], n_buckets)
+            docs_out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths.astype(np.int64))], names=["key", "held", "n_tokens"])
+            blank = {"counts": b"", "over": b""}
+            out = [{"bucket": -1 - name % n_buckets, "kind": 0, "chunk": name, "keys": _ipc(docs_out), "counts": squeeze(values), "over": squeeze(inverse.astype("<u4"))}]
+            rare = values[~found_in(top_keys, asked_keys(values, shift, 0))[0]]
+            cuts = bucket_cuts(rare, n_buckets)
+            out += [{"bucket": b, "kind": 1, "chunk": name, "keys": pack_keys(rare[lo:hi])} | blank for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+            pairs, at = np.unique(pair_hashes(previous(tokens, lengths), tokens), return_inverse=True)
+            trains = np.repeat(~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool), lengths)
+            n = np.bincount(at[trains], minlength=len(pairs))
+            cuts = bucket_cuts(pairs, n_buckets)
             for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if lo < hi:
-                    # One key for each word, then how many texts have it, and those texts.
-                    new = np.flatnonzero(np.concatenate(([True], word[lo + 1 : hi] != word[lo : hi - 1])))
-                    runs = np.diff(np.append(new, hi - lo)).astype("<u4")
-                    out.append({"bucket": b, "chunk": name, "owner": who[lo:hi].astype("<u4").tobytes(), "keys": pack_keys(values[word[lo:hi][new]]) + runs.tobytes(), "tf": np.minimum(tf[lo:hi], 2**32 - 1).astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("owner", pa.binary()), ("keys", pa.binary()), ("tf", pa.binary())]))
+                    c = n[lo:hi]
+                    out.append({"bucket": b, "kind": 2, "chunk": name, "keys": pack_keys(pairs[lo:hi]), "counts": np.minimum(c, 255).astype(np.uint8).tobytes(), "over": c[c >= 255].astype("<u4").tobytes()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("over", pa.binary())]))
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=["chunk", "bucket", "docs", "owner", "base", "n_known"], dtype=object)
-        bucket = int(left["bucket"].iloc[0])
-        if bucket < 0:
-            n = len(left)
-            return pd.DataFrame({"chunk": left["chunk"], "bucket": [bucket] * n, "docs": left["keys"], "owner": [b""] * n, "base": [b""] * n, "n_known": [b""] * n})
+        """The tokens of chunks as they came; exact counts of asked words and levels of asked pairs in the order asked."""
+        tokens, asked, pairs = (left[left["kind"] == k] for k in range(3))
+        out = list(zip(tokens["chunk"], tokens["bucket"], tokens["kind"], tokens["keys"], tokens["counts"], tokens["over"]))
         keys = unpack_keys(right["keys"].iloc[0]) if len(right) else np.empty(0, np.uint64)
         counts = np.frombuffer(right["counts"].iloc[0], "<i8") if len(right) else np.empty(0, np.int64)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        out = []
-        for chunk, owner, raw, tf in zip(left["chunk"], left["owner"], left["keys"], left["tf"]):
-            n = len(raw) // (KEY_BITS // 8 + 4)
-            asked, runs = unpack_keys(raw[: n * (KEY_BITS // 8)]), np.frombuffer(raw[n * (KEY_BITS // 8) :], "<u4")
-            known, at = found_in(keys, asked)
-            c = np.repeat(np.where(known, counts[at] if len(counts) else 0, 0), runs)
-            who, tf = np.frombuffer(owner, "<u4"), np.frombuffer(tf, "<u4")
-            hit = c > 0
-            own, slot = np.unique(who[hit], return_inverse=True)
-            base = np.bincount(slot, tf[hit] * np.log10(c[hit] + 1.0), len(own))
-            n_known = np.bincount(slot, tf[hit], len(own))
-            out.append((chunk, bucket, None, own.astype("<u4").tobytes(), base.astype("<f8").tobytes(), n_known.astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "docs", "owner", "base", "n_known"])
-
-    kind = rows.schema["key"].dataType.simpleString()
+        for chunk, bucket, raw in zip(asked["chunk"], asked["bucket"], asked["keys"]):
+            known, at = found_in(keys, unpack_keys(raw))
+            out.append((chunk, bucket, 1, squeeze(np.where(known, counts[at] if len(counts) else 0, 0).astype("<i8")), b"", b""))
+        if len(pairs):
+            out += [(chunk, bucket, 2, raw, b"", b"") for chunk, bucket, raw in zip(pairs["chunk"], pairs["bucket"], pair_levels(pairs, shift))]
+        return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "keys", "counts", "over"], dtype=None if out else object)
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
+        top_keys, top_counts = sent.value
         part = part.sort_values("bucket")
-        df = pa.ipc.open_stream(part.loc[part["bucket"] < 0, "docs"].iloc[0]).read_all().to_pandas(integer_object_nulls=True)
-        base, n_known = df["base"].to_numpy().copy(), df["n_known"].to_numpy().copy()
-        for bucket, owner, b, k in zip(part["bucket"], part["owner"], part["base"], part["n_known"]):
-            if bucket >= 0:
-                own = np.frombuffer(owner, "<u4")
-                base[own] += np.frombuffer(b, "<f8")
-                n_known[own] += np.frombuffer(k, "<u4")
-        df["base"] = base - df["n_tokens"].to_numpy() * math.log10(norm)
-        df["n_known"] = n_known
+        own = part[part["kind"] == 0].iloc[0]
+        df = pa.ipc.open_stream(own["keys"]).read_all().to_pandas(integer_object_nulls=True)
+        values, inverse = unsqueeze(own["counts"], "<u8"), unsqueeze(own["over"], "<u4")
+        lengths = df["n_tokens"].to_numpy()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        known, at = found_in(top_keys, asked_keys(values, shift, 0))
+        exact = np.where(known, top_counts[at] if len(top_counts) else 0, 0)
+        if not known.all():
+            exact[~known] = np.concatenate([unsqueeze(raw, "<i8") for raw in part.loc[part["kind"] == 1, "keys"]])
+        df["n_known"] = np.bincount(owner, (exact > 0)[inverse], len(lengths)).astype(np.int64)
+        df["base"] = np.bincount(owner, np.log10(exact + 1.0)[inverse], len(lengths)) - lengths * math.log10(norm)
+        c_word = level_value(np.where(exact > 0, level(exact), 0))
+        tokens = values[inverse]
+        _, at = np.unique(pair_hashes(previous(tokens, lengths), tokens), return_inverse=True)
+        c_pair = level_value(np.frombuffer(b"".join(part.loc[part["kind"] == 2, "keys"]), np.uint8).astype(np.int64))[at]
+        lower = (c_word[inverse] + 1) / norm
+        # As many texts begin as end.
+        first = np.cumsum(lengths) - lengths
+        c_before = np.roll(c_word[inverse], 1)
+        c_before[first] = c_word[np.searchsorted(values, END)]
+        seen = c_before > 0
+        ratio = np.minimum(1.0, c_pair / np.where(seen, c_before, 1.0))
+        df["score"] = np.bincount(owner, np.log10(np.where(seen, MIX * ratio + (1 - MIX) * lower, lower)), len(lengths))
         return df[["key", "held", "n_tokens", "n_known", "base", "score"]]
 
-    packed = rows.mapInArrow(scan, "bucket int, chunk bigint, owner binary, keys binary, tf binary")
+    kind = rows.schema["key"].dataType.simpleString()
+    packed = rows.mapInArrow(scan, "bucket int, kind int, chunk bigint, keys binary, counts binary, over binary")
     looked = packed.groupBy("bucket").cogroup(words.select("bucket", "keys", "counts").groupBy("bucket"))
-    looked = looked.applyInPandas(look_up, "chunk bigint, bucket int, docs binary, owner binary, base binary, n_known binary")
+    looked = looked.applyInPandas(look_up, "chunk bigint, bucket int, kind int, keys binary, counts binary, over binary")
     final = looked.groupBy("chunk").applyInPandas(gather, f"key {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double")
     return final.select(
         F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score"

@@ -18,7 +18,6 @@ END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0xA24BAED4963EE407)
 CHUNK_TOKENS = 600_000
 BUCKET_BYTES = 8_000_000
 WRITE_BUCKETS = 16
-LEAST_PAIR = 2  # training texts must have a pair that often to be in the filter
 HEAVY = 1 << 17
 PROBES = 4
 BASE = 1.5
@@ -282,7 +281,7 @@ def pair_levels(part: pd.DataFrame, shift: int) -> list[bytes]:
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, counts, len(distinct)).astype(np.int64)
     distinct = gram_keys(distinct, int(part["bucket"].iloc[0]), shift, 2)
-    stored = total >= LEAST_PAIR
+    stored = total > 0
     levels = LogFilter.of(distinct[stored], level(total[stored])).levels(distinct).astype(np.uint8)[at]
     return [x.tobytes() for x in np.split(levels, np.cumsum([len(k) for k in keys])[:-1])]
 

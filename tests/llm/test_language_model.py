@@ -50,3 +50,14 @@ def test_no_pair_leaves_the_model(spark, monkeypatch, bucket_bytes):
     assert all(got[i] >= want[i] - 1e-9 for i in want)
     with pytest.raises(ValueError):
         language_model.build_filter(language_model.counted(docs, 16), 1 << 12, 16)
+
+
+def test_pairs_seen_once_count(spark):
+    rows = texts(600)
+    held = {i for i, _ in rows if i % 7 == 2}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, without = plain_scores(rows, held, 1), plain_scores(rows, held, 2)
+    got = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") % 7 == 2).collect()}
+    assert all(got[i] >= want[i] - 1e-9 for i in want) and any(want[i] > without[i] + 1 for i in want)
+    # Only false positives of the filter lie above.
+    assert sum(got.values()) - sum(want.values()) < 0.2 * (sum(want.values()) - sum(without.values()))

@@ -19,15 +19,17 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-# Where a value is a credential: a name, an assignment (or "is"), a value up to a space, quote or bracket.
+# Where a value is a credential: a name, an assignment (or "is"), a value up to a space, quote or bracket. Before a sign the
+# name may be part of a longer one (db_pwd, AWS_SECRET_ACCESS_KEY); before "is" it stands alone or after "_", "." or "-".
+NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|api[ _-]?key|(?:access|private|auth)[ _-]?key|login)"
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|api[ _-]?key|(?:access|private|auth)[ _-]?key|login)\b"""
-    r"""["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}["']?([^\s"'`,;<>()\[\]{}]+)""",
+    rf"""(?:{NAME}[A-Za-z0-9_.-]{{0,64}}["']?\s{{0,4}}[:=]|(?<![A-Za-z0-9]){NAME}(?:[_.-][A-Za-z0-9_.-]{{0,63}})?["']?\s{{0,4}}\bis\b)"""
+    r"""\s{0,4}["']?([^\s"'`,;<>()\[\]{}]+)""",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "key", "login")
 
-# Words by rank: what people choose first, then everyday words.
+# Words by rank: what people choose first, then everyday words. Words counted in the texts follow.
 COMMON_WORDS = (
     "password", "qwerty", "dragon", "monkey", "letmein", "football", "baseball", "welcome", "login", "master", "hello",
     "admin", "sunshine", "princess", "shadow", "flower", "secret", "freedom", "whatever", "trustno", "summer", "winter",
@@ -40,6 +42,11 @@ COMMON_WORDS = (
     "system", "database", "company", "manager", "service", "account", "private", "public", "access", "key", "code", "pass",
 )
 
+# A counted word: letters between characters that are neither letters nor digits; seen so often, and once in so many bytes.
+WORD = r"(?<![\p{L}\p{N}_])\p{L}{3,24}(?![\p{L}\p{N}_])"
+MIN_WORD_COUNT = 3
+WORD_BYTES = 1 << 21
+
 # Rows of a keyboard; a walk stays on neighbouring keys.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("430150$@!7", "aeoisosait")
@@ -145,6 +152,20 @@ class GuessCost:
         return end
 
 
+def counted_words(docs: DataFrame, text: str = "text") -> tuple[str, ...]:
+    """Words of all texts, the most frequent first: at least MIN_WORD_COUNT times and once in WORD_BYTES of text, so at most WORD_BYTES / 4.
+
+    Values in credential contexts are no words by themselves, so a secret does not become one by its copies.
+    """
+    own = docs.select(F.lower(F.col(f"`{text}`")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    least = max(MIN_WORD_COUNT, math.ceil(size / WORD_BYTES))
+    plain = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
+    found = own.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rows = found.where(F.col("n") >= least).collect()
+    return tuple(r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])))
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns, each kind leftmost and without overlap."""
     low = text.lower()
@@ -185,17 +206,19 @@ def find_secrets(docs: DataFrame, text: str = "text", words: tuple[str, ...] = C
 
     Spans are (start, kind, end) in code points, end exclusive, by start and then kind. Added spans are
     values in credential contexts that cost at least 10^``min_log10_guesses`` guesses and touch no base
-    span. One pass, no shuffle: a text stays in its row, and long texts are scanned whole in linear time.
+    span. Words cost by rank: ``words`` first, then those counted in all texts (``counted_words``). The scan is
+    one pass without a shuffle: a text stays in its row, and long texts are scanned whole in linear time.
 
     Null and empty texts have no spans and a null cost. Repeated rows each get their spans. A column
     called ``secrets`` stays; the new one is then ``secrets_1``.
     """
     models: list[GuessCost] = []
+    ranked = docs.sparkSession.sparkContext.broadcast((*words, *counted_words(docs, text)))
 
     @F.arrow_udf(RESULT)
     def scan(texts: pa.Array) -> pa.Array:
         if not models:
-            models.append(GuessCost(words))
+            models.append(GuessCost(ranked.value))
         rows = []
         for value in texts:
             base, added, highest = scan_text(value.as_py() or "", models[0], min_log10_guesses)

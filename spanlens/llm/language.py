@@ -245,14 +245,15 @@ def _learner(start, turn: int, rate: float):
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", per_label: int = 500, rounds: int = 3, shards: int = 6, rate: float = 0.3) -> Model:
     """Train on about ``per_label`` whole texts of each label (the documented bound of the sample).
 
-    The sample is chosen by a digest of the text, so reruns agree; it is staged in ``shards`` parts. Each
+    The sample is chosen by a digest of the text, so reruns agree, and copies of a text under one label count once; it is staged in ``shards`` parts. Each
     round every shard starts from the common weights, makes one pass over its code-switched sequences, and
     the weights are averaged. The lexicon holds the words seen most often in the sample, at least three times.
     Rows with null label or text, or without a letter, teach nothing. Without any labelled row the model has no labels.
     """
     spark = labelled.sparkSession
     labelled = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per language
+    # A text teaches a label once, however many copies there are; only digests are shuffled for it.
+    counts = {r["label"]: r["n"] for r in labelled.select("label", F.md5("text").alias("digest")).distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per language
     labels = sorted(counts)
     number = {x: i for i, x in enumerate(labels)}
     if not labels:
@@ -261,7 +262,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", per_labe
     digest = F.md5("text")
     unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
     rank = F.create_map(*[F.lit(v) for x in labels for v in (x, number[x])])
-    sample = labelled.where(unit < share[F.col("label")]).select("text", rank[F.col("label")].alias("label"), digest.alias("digest"))
+    sample = labelled.where(unit < share[F.col("label")]).select("text", rank[F.col("label")].alias("label"), digest.alias("digest")).dropDuplicates(["label", "digest"])
     sample = staged(sample.repartition(shards, "digest").sortWithinPartitions("digest", "label"), "sample")
     shard = F.pmod(F.conv(F.substring("digest", 9, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
 

@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
       no long lists. In lists of up to SHORT_LIST all pairs are candidates. In longer ones, which only groups of
       near copies and texts of frequent passages alone still have, sets are cut into blocks of about BLOCK_SETS,
       and pairs of blocks are compared twice (``family_links``): by signatures, which leave out sets that no
-      other of the list can link with, and then by the exact sets of the others. No link is lost.
+      other of the list can link with, and then by the exact sets of the others. Enough links return to connect all that link.
 
     Elements and classes are 64-bit hashes. Null, empty and wordless texts: n_shingles 0, null class, their own
     key as component (null if that is null). Null keys count as larger than any other. Repeated rows and

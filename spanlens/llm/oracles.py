@@ -109,6 +109,20 @@ o AS (SELECT d.doc_id, d.size, x.*, round(target)::BIGINT - reps * source_size A
     FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target, CAST(reps * size + greatest(0, least(size, extra - ahead)) AS BIGINT) AS taken FROM o"""
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKING = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text", TERM)} AS w FROM documents),
+l AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+t AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM l),
+m AS (SELECT r, doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM l, t),
+i AS (SELECT row_number() OVER () AS item, item_id, {words("text", TERM)} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT item, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, t GROUP BY term),
+s AS (SELECT item, item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM q JOIN p USING (term) JOIN v USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
 ORACLES = {
     "op1_jaccard_join": JACCARD,
     "op4_chat_formatting": CHAT,
@@ -116,4 +130,5 @@ ORACLES = {
     "op6_line_dedup": LINES,
     "op7_quality_rules": _quality(),
     "op9_mixing": MIXING,
+    "op11_lexical_search": RANKING,
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, secrets, token_counts
+from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, ranking, secrets, token_counts
 from spanlens.llm.common import shared_folder, table
 from spanlens.llm.oracles import ORACLES  # noqa: F401
 
@@ -121,6 +121,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_scores": op2_lm_scores,
@@ -132,4 +137,5 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
 }

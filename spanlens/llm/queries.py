@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, ranking, secrets, token_counts
+from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, ranking, secrets, token_counts, whitening
 from spanlens.llm.common import shared_folder, table
 from spanlens.llm.oracles import ORACLES  # noqa: F401
 
@@ -126,6 +126,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector and component. A squared length beyond a long is null here; the operator gives it as a decimal."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
+    w = F.col("whitened")
+    return made.select(
+        "vec_id", w["n"].alias("n"), w["deviation"].try_cast("bigint").alias("deviation"), w["identity_error"].alias("identity_error"),
+        F.posexplode(F.arrays_zip(w["values"].alias("whitened"), w["explained"].alias("explained"))).alias("place", "own"),
+    ).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "own.whitened", "own.explained", "identity_error")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_scores": op2_lm_scores,
@@ -138,4 +148,5 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }

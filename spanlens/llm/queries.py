@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, ranking, secrets, token_counts, whitening
+from spanlens.llm import chat, decontaminate, jaccard, language, language_model, line_dedup, mixing, quality, ranking, secrets, token_counts, toxicity, whitening
 from spanlens.llm.common import shared_folder, table
 from spanlens.llm.oracles import ORACLES  # noqa: F401
 
@@ -126,6 +126,15 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.is_held_out(F.col("doc_id"))
+    model = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, model)
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each vector and component. A squared length beyond a long is null here; the operator gives it as a decimal."""
     made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
@@ -148,5 +157,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_toxicity": op12_toxicity,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

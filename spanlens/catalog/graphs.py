@@ -384,7 +384,8 @@ def graph_questions(spark, sf_dir):
         acts[0]["target"].alias("target"), facts["visible_instruments"][0].alias("tool"), facts["visible_anatomy"][0].alias("anatomy"),
         F.try_element_at(facts["visible_objects"], F.lit(1)).alias("object"),
     )
-    return rows.select("question_id", "video_id", F.expr(_question("STRING")).alias("question"))
+    # Written once, as questions are a table of their own elsewhere: the text is named many times below.
+    return cut_lineage(rows.select("question_id", "video_id", F.expr(_question("STRING")).alias("question")))
 
 
 def _phrase(x: str, phrase: str) -> str:

@@ -1,12 +1,16 @@
 """Rule tables turned into column expressions.
 
-The chains run on each row where it is: a narrow projection with patterns compiled once per task. No
+The rules run on each row where it is: a narrow projection with patterns compiled once per task. No
 distinct + join-back is used, because one frequent surface would make that join skewed.
+
+A table is asked once per text and answers with rule numbers; what a rule says is looked up by number in
+constant arrays. The patterns stand inside a lambda, which Spark evaluates row by row with compiled patterns:
+however often a result is named and however long the table is, generated code does not grow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,22 +30,50 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text.cast("string")), r"(?U)\s+", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fitting(clean: Column, patterns: Sequence[str]) -> Column:
+    """Numbers from 1 of all patterns that occur in the text, in table order."""
+    if not patterns:
+        return F.array().cast("array<int>")
+    hits = lambda t: F.array(*[F.when(t.rlike(p), i) for i, p in enumerate(patterns, 1)])
+    return F.filter(once(clean, hits), lambda i: i.isNotNull())
+
+
+def first_fitting(clean: Column, patterns: Sequence[str]) -> Column:
+    """Number from 1 of the first pattern that occurs in the text, null if none does."""
+    if not patterns:
+        return F.lit(None).cast("int")
+
+    def chain(t: Column) -> Column:
+        out = F.when(t.rlike(patterns[0]), 1)
+        for i, p in enumerate(patterns[1:], 2):
+            out = out.when(t.rlike(p), i)
+        return out
+
+    return once(clean, chain)
+
+
 def entity(clean: Column, hint: Column, rules=None) -> Column:
     """(canonical, category) of a squeezed surface: first rule, then word class, then hint."""
 
-    def value(canonical: str, category: Column) -> Column:
-        return F.struct(F.lit(canonical).alias("canonical"), category.alias("category"))
+    table = [(*r, False) for r in rules or vocab.ENTITY_RULES] + list(vocab.ENTITY_FALLBACKS)
+    patterns, names, kinds, wins = map(list, zip(*table))
+    by_hint = F.create_map(*[F.lit(v) for pair in vocab.HINT_FALLBACKS for v in pair])
+    flags = F.array(*[F.lit(w) for w in wins])
+
+    def made(i: Column) -> Column:
+        kind = F.try_element_at(strings(kinds), i)
+        found = F.struct(F.try_element_at(strings(names), i).alias("canonical"), F.when(F.try_element_at(flags, i), F.coalesce(hint, kind)).otherwise(kind).alias("category"))
+        rest = F.struct(
+            F.coalesce(F.try_element_at(by_hint, hint), F.lit("generic_object")).alias("canonical"), F.coalesce(hint, F.lit("object")).alias("category")
+        )
+        return F.when(i.isNotNull(), found).otherwise(rest)
 
-    chain = None
-    for pattern, canonical, category in rules or vocab.ENTITY_RULES:
-        out = value(canonical, F.lit(category))
-        chain = F.when(clean.rlike(pattern), out) if chain is None else chain.when(clean.rlike(pattern), out)
-    for pattern, canonical, category, hint_wins in vocab.ENTITY_FALLBACKS:
-        kind = F.coalesce(hint, F.lit(category)) if hint_wins else F.lit(category)
-        chain = chain.when(clean.rlike(pattern), value(canonical, kind))
-    for category, canonical in vocab.HINT_FALLBACKS:
-        chain = chain.when(hint == category, value(canonical, F.lit(category)))
-    return chain.otherwise(value("generic_object", F.coalesce(hint, F.lit("object"))))
+    return once(first_fitting(clean, patterns), made)
 
 
 def any_entity(rules=None) -> str:
@@ -51,25 +83,29 @@ def any_entity(rules=None) -> str:
 
 def rule_canonical(clean: Column, rules=None) -> Column:
     """Canonical of the first entity rule that fits, null when only a fallback would."""
-    chain = None
-    for pattern, canonical, _ in rules or vocab.ENTITY_RULES:
-        chain = F.when(clean.rlike(pattern), canonical) if chain is None else chain.when(clean.rlike(pattern), canonical)
-    return chain
+    table = rules or vocab.ENTITY_RULES
+    return F.try_element_at(strings([c for _, c, _ in table]), first_fitting(clean, [p for p, _, _ in table]))
 
 
-def attribute_group(clean: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Sorted values of one attribute group."""
-    hits = F.array(*[F.when(clean.rlike(pattern), value) for pattern, value in rules])
-    return F.array_sort(F.array_distinct(F.filter(hits, lambda h: h.isNotNull())))
+def _between(low: int, high: int) -> Callable[[Column], Column]:
+    return lambda i: (i > low) & (i <= high)
 
 
 def attributes(clean: Column, rules: Mapping[str, Sequence[tuple[str, str]]] | None = None) -> Column:
     """Map of attribute group to sorted values; groups without a hit are left out."""
     table = rules or vocab.ATTRIBUTE_RULES
-    parts = []
-    for name, group in table.items():
-        parts += [F.lit(name), attribute_group(clean, group)]
-    return F.map_filter(F.create_map(*parts), lambda _, values: F.size(values) > 0)
+    flat = [(pattern, value) for group in table.values() for pattern, value in group]
+    values = strings([v for _, v in flat])
+
+    def made(found: Column) -> Column:
+        parts, at = [], 0
+        for name, group in table.items():
+            own = F.filter(found, _between(at, at + len(group)))
+            parts += [F.lit(name), F.array_sort(F.array_distinct(F.transform(own, lambda i: F.element_at(values, i))))]
+            at += len(group)
+        return F.map_filter(F.create_map(*parts), lambda _, v: F.size(v) > 0)
+
+    return once(fitting(clean, [p for p, _ in flat]), made)
 
 
 def attribute_values(attribute_map: Column) -> Column:
@@ -79,14 +115,9 @@ def attribute_values(attribute_map: Column) -> Column:
 
 def predicates(clean: Column, rules=None) -> Column:
     """Predicates of a squeezed action phrase: first rule, else ``other_action``."""
-    chain = None
-    for pattern, values in rules or vocab.ACTION_RULES:
-        chain = (
-            F.when(clean.rlike(pattern), strings(values))
-            if chain is None
-            else chain.when(clean.rlike(pattern), strings(values))
-        )
-    return chain.otherwise(strings(["other_action"]))
+    table = rules or vocab.ACTION_RULES
+    found = F.array(*[strings(values) for _, values in table])
+    return F.coalesce(F.try_element_at(found, first_fitting(clean, [p for p, _ in table])), strings(["other_action"]))
 
 
 def informative(concepts: Column, stop: Sequence[str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanlens.functions import vocab
-from spanlens.functions.rules import strings
+from spanlens.functions.rules import fitting, strings
 
 CHOICE_LABEL = r"(?U)^\s*([A-Za-z0-9]+)[.):：]\s*"
 IMAGE_DATA = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
@@ -51,17 +51,18 @@ def _quoted(phrase: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in " _" else c for c in phrase)
 
 
+def _phrase_pattern(phrases: Sequence[str]) -> str:
+    return f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, phrases))})(?![a-z0-9])"
+
+
 def contains_phrase(text: Column, *phrases: str) -> Column:
     """Any of the constant phrases inside a text, not touching other letters or digits."""
-    return text.rlike(f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, phrases))})(?![a-z0-9])")
+    return text.rlike(_phrase_pattern(phrases))
 
 
 def phrase_hits(text: Column, phrases: dict[str, Sequence[str]]) -> Column:
     """Names whose phrase list occurs in the text, as an array in table order."""
-    hits = []
-    for name, options in phrases.items():
-        hits.append(F.when(contains_phrase(text, *options), name))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return F.transform(fitting(text, [_phrase_pattern(p) for p in phrases.values()]), lambda i: F.element_at(strings(list(phrases)), i))
 
 
 def ngrams(words: Column, longest: int) -> Column:

@@ -230,12 +230,49 @@ def temporal_events(spark, sf_dir):
     )
 
 
-@query("representative_clips")
+def _pick_steps(budget: int = 3) -> str:
+    """One CTE per round of the greedy choice: the state of each event after the round."""
+    conditions = ["true", "terminal", "moving", *["true"] * (budget - 1)]
+    reasons = ["primary_event_coverage", "terminal_action_coverage", "action_transition_coverage", *["marginal_event_coverage"] * (budget - 1)]
+    out = "k0 AS (SELECT video_id, event_index, n, CAST([] AS VARCHAR[]) AS did, CAST([] AS VARCHAR[]) AS dic, CAST([] AS STRUCT(i BIGINT, u DOUBLE, why VARCHAR)[]) AS picks FROM ew)"
+    part = "coalesce(list_sum(list_transform(list_filter(c.{w}, lambda x: NOT list_contains(k.{d}, x.t)), lambda x: x.w)), 0) / c.{w}t"
+    for i, (condition, why) in enumerate(zip(conditions, reasons)):
+        worth = f"0.55 * CASE WHEN c.awt > 0 THEN {part.format(w='aw', d='did')} ELSE 0 END + 0.25 * CASE WHEN c.cwt > 0 THEN {part.format(w='cw', d='dic')} ELSE 0 END + 0.2 * c.spec"
+        out += f""", b{i} AS (SELECT * FROM (SELECT k.video_id, k.event_index, c.clip_index AS i, c.predicates AS p, c.informative AS f, {worth} AS u FROM k{i} k JOIN ec c ON c.video_id = k.video_id AND c.event_index = k.event_index
+    WHERE {condition} AND len(k.picks) < least({budget}, k.n) AND NOT list_contains(list_transform(k.picks, lambda x: x.i), c.clip_index)) QUALIFY row_number() OVER (PARTITION BY video_id, event_index ORDER BY round(u, 12) DESC, i) = 1),
+k{i + 1} AS MATERIALIZED (SELECT k.video_id, k.event_index, k.n, CASE WHEN b.i IS NULL THEN did ELSE list_distinct(list_concat(did, b.p)) END AS did, CASE WHEN b.i IS NULL THEN dic ELSE list_distinct(list_concat(dic, b.f)) END AS dic,
+    CASE WHEN b.i IS NULL THEN picks ELSE list_append(picks, {{'i': b.i, 'u': b.u, 'why': '{why}'}}) END AS picks FROM k{i} k LEFT JOIN b{i} b ON b.video_id = k.video_id AND b.event_index = k.event_index)"""
+    return out + f", kk AS MATERIALIZED (SELECT * FROM k{len(conditions)})"
+
+
+_REP_CTE = f"""{_EVENT_CTE}, mv AS (SELECT video_id, event_index, clip_id FROM z WHERE pos > 0 AND rel = 'transition' UNION SELECT video_id, event_index, prev_id FROM z WHERE pos > 0 AND rel = 'transition'),
+wa AS (SELECT video_id, event_index, t, 1.0 / count(*) AS w FROM (SELECT video_id, event_index, unnest(predicates) AS t FROM z) GROUP BY ALL), wc AS (SELECT video_id, event_index, t, 1.0 / count(*) AS w FROM (SELECT video_id, event_index, unnest(informative) AS t FROM z) GROUP BY ALL),
+ew AS MATERIALIZED (SELECT e.video_id, e.event_index, e.clip_count AS n, coalesce(x.l, []) AS aw, coalesce(y.l, []) AS cw, coalesce(x.s, 0) AS awt, coalesce(y.s, 0) AS cwt FROM e
+  LEFT JOIN (SELECT video_id, event_index, list({{'t': t, 'w': w}} ORDER BY t) AS l, sum(w) AS s FROM wa GROUP BY 1, 2) x ON x.video_id = e.video_id AND x.event_index = e.event_index
+  LEFT JOIN (SELECT video_id, event_index, list({{'t': t, 'w': w}} ORDER BY t) AS l, sum(w) AS s FROM wc GROUP BY 1, 2) y ON y.video_id = e.video_id AND y.event_index = e.event_index),
+ec AS MATERIALIZED (SELECT z.video_id, z.event_index, z.clip_id, z.clip_index, z.start_seconds, z.end_seconds, z.predicates, z.informative, 0.6 * z.obs + 0.4 * z.arg AS spec, awt, cwt,
+  list_filter(aw, lambda x: list_contains(z.predicates, x.t)) AS aw, list_filter(cw, lambda x: list_contains(z.informative, x.t)) AS cw, len(list_intersect(z.predicates, {vocab.TERMINAL_ACTIONS!r})) > 0 AS terminal, mv.clip_id IS NOT NULL AS moving
+  FROM z JOIN ew ON ew.video_id = z.video_id AND ew.event_index = z.event_index LEFT JOIN mv ON mv.video_id = z.video_id AND mv.event_index = z.event_index AND mv.clip_id = z.clip_id),
+{_pick_steps()},
+rc AS MATERIALIZED (SELECT kk.video_id, kk.event_index, CAST(printf('%.4f', CASE WHEN len(e.predicates) = 0 THEN 1 ELSE len(did) / CAST(len(e.predicates) AS DOUBLE) END) AS DOUBLE) AS acov,
+  CAST(printf('%.4f', CASE WHEN len(ew.cw) = 0 THEN 1 ELSE len(dic) / CAST(len(ew.cw) AS DOUBLE) END) AS DOUBLE) AS ccov, picks FROM kk JOIN e ON e.video_id = kk.video_id AND e.event_index = kk.event_index JOIN ew ON ew.video_id = kk.video_id AND ew.event_index = kk.event_index),
+rp AS MATERIALIZED (SELECT e.video_id, e.event_index, e.event_id, x.j, c.clip_id, c.clip_index, c.start_seconds, c.end_seconds,
+  CASE WHEN j = 1 THEN 'primary' WHEN c.terminal THEN 'terminal' WHEN c.moving THEN 'transition' ELSE 'supporting' END AS role, CAST(printf('%.4f', x.p.u) AS DOUBLE) AS selection_score, list_sort(c.predicates) AS covered_actions, list_sort(c.informative) AS covered_informative_concepts,
+  list_filter([x.p.why, CASE WHEN c.terminal AND x.p.why <> 'terminal_action_coverage' THEN 'covers_terminal_action' END, CASE WHEN c.moving AND x.p.why <> 'action_transition_coverage' THEN 'covers_action_transition' END], lambda r: r IS NOT NULL) AS reasons
+  FROM (SELECT video_id, event_index, unnest(picks) AS p, generate_subscripts(picks, 1) AS j FROM rc) x JOIN e ON e.video_id = x.video_id AND e.event_index = x.event_index JOIN ec c ON c.video_id = x.video_id AND c.event_index = x.event_index AND c.clip_index = x.p.i)"""
+
+
+@query(
+    "representative_clips",
+    f"""{_REP_CTE} SELECT rp.event_id, rc.acov AS representative_action_coverage, rc.ccov AS representative_entity_coverage, clip_id, clip_index, start_seconds, end_seconds, role, selection_score,
+        array_to_string(covered_actions, ',') AS covered_actions, array_to_string(covered_informative_concepts, ',') AS covered_informative_concepts, array_to_string(reasons, ',') AS reasons FROM rp JOIN rc ON rc.video_id = rp.video_id AND rc.event_index = rp.event_index""",
+)
 def representative_clips(spark, sf_dir):
     out = _events(spark, sf_dir)
-    return out.select(
-        "event_id", "representative_action_coverage", "representative_entity_coverage", F.explode_outer("representatives").alias("r")
-    ).select("event_id", "representative_action_coverage", "representative_entity_coverage", "r.*")
+    rows = out.select("event_id", "representative_action_coverage", "representative_entity_coverage", F.explode_outer("representatives").alias("r")).select(
+        "event_id", "representative_action_coverage", "representative_entity_coverage", "r.*"
+    )
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("covered_actions", "covered_informative_concepts", "reasons")})
 
 
 _CONCEPT = "'concept:' || category || ':' || canonical"
@@ -448,29 +485,140 @@ def unmatched_questions(spark, sf_dir):
     return graphquery.unmatched(questions, ranked).select("question_id", "status")
 
 
-@query("event_groups_ranked")
-def event_groups_ranked(spark, sf_dir):
-    questions, built = _lookup(spark, sf_dir)
-    _, ranked = graphquery.retrieve_groups(questions, built)
+def _hop(i: int, terms: str = "terms", words: str = "words") -> str:
+    """State of each seed after one more step along the edges."""
+    context = f"coalesce({i == 0} AND s.relation IN ('after', 'before'), false)".replace("True", "true").replace("False", "false")
+    fresh = "len(list_filter(n.{0}, lambda x: NOT list_contains(s.{0}, x)))"
+    return f"""o{i} AS (SELECT * FROM (SELECT s.question_id, s.seed_rank, n.off, n.event_id, n.terms AS t, n.words AS w, {fresh.format('terms')} AS gain, {fresh.format('words')} AS more FROM s{i} s JOIN near n ON n.question_id = s.question_id AND n.seed_rank = s.seed_rank
+    AND n.off IN (s.lo - 1, s.hi + 1) WHERE s.alive) QUALIFY row_number() OVER (PARTITION BY question_id, seed_rank ORDER BY gain DESC, more DESC, event_id, off) = 1),
+s{i + 1} AS MATERIALIZED (SELECT s.question_id, s.seed_rank, s.relation, CASE WHEN go THEN least(lo, off) ELSE lo END AS lo, CASE WHEN go THEN greatest(hi, off) ELSE hi END AS hi, go AS alive,
+    CASE WHEN go THEN list_concat(terms, t) ELSE terms END AS terms, CASE WHEN go THEN list_concat(words, w) ELSE words END AS words,
+    CASE WHEN NOT go THEN reason WHEN {context} THEN 'query_' || relation || '_context' ELSE 'additional_query_term_coverage' END AS reason
+    FROM (SELECT s.*, o.off, o.t, o.w, o.off IS NOT NULL AND (gain > 0 OR more > 0 OR {context}) AS go FROM s{i} s LEFT JOIN o{i} o ON o.question_id = s.question_id AND o.seed_rank = s.seed_rank) s)"""
+
+
+def _scores(p: str, c: str, a: str, t: str) -> str:
+    """Coverages, relevance and bonus of matched lists for the question ``x``."""
+    weighed = "CASE WHEN len(x.{q}) = 0 THEN 0 ELSE list_sum(list_transform(list_filter(x.{q}, lambda v: list_contains({m}, v.t)), lambda v: v.w)) / list_sum(list_transform(x.{q}, lambda v: v.w)) END"
+    counted = "CASE WHEN len(x.{q}) = 0 THEN 0 ELSE len({m}) / CAST(len(x.{q}) AS DOUBLE) END"
+    return f"""coalesce({weighed.format(q='qp', m=p)}, 0) AS ac, coalesce({weighed.format(q='qc', m=c)}, 0) AS cc, {counted.format(q='qa', m=a)} AS tc, {counted.format(q='qw', m=t)} AS lc,
+    CASE WHEN len({p}) > 0 AND len({c}) > 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS joint"""
+
+
+_USED = "(CASE WHEN len(qp) > 0 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN len(qc) > 0 THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN len(qa) > 0 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN len(qw) > 0 THEN 0.1 ELSE 0 END::DOUBLE)"
+_RELEVANCE = f"CASE WHEN {_USED} > 0 THEN (0.5 * ac + 0.35 * cc + 0.05 * tc + 0.1 * lc) / {_USED} ELSE 0 END"
+
+
+def _six(x: str) -> str:
+    return f"CAST(printf('%.6f', {x}) AS DOUBLE)"
+
+
+def _group_cte(edges: str) -> str:
+    """Ranked groups ``rk`` grown along ``edges`` (video_id, source, target, place), of which the last one of an event counts."""
+    return f"""{_QUERY_CTE.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, {_REP_CTE[len(_EVENT_CTE) + 2:]},
+lab AS (SELECT video_id, event_index, coalesce(nullif(array_to_string(predicates[1:3], ', '), ''), 'no_normalized_action') || ' | ' || coalesce(nullif(array_to_string(concepts[1:4], ', '), ''), 'no_normalized_concept') AS label FROM e),
+tk AS (SELECT video_id, event_index, list_distinct(list(tk)) AS toks FROM (SELECT z.video_id, z.event_index, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+|[一-鿿]+')) AS tk FROM z UNION ALL SELECT video_id, event_index, unnest(regexp_extract_all(lower(label), '[a-z0-9]+|[一-鿿]+')) FROM lab) WHERE len(tk) > 1 AND NOT list_contains({vocab.STOPWORDS!r}, tk) GROUP BY 1, 2),
+av AS (SELECT z.video_id, z.event_index, list_distinct(list(regexp_replace(v, '^.*:', ''))) AS attrs FROM z JOIN (SELECT clip_id, unnest({attributes_sql('surface')}) AS v FROM mm) m USING (clip_id) GROUP BY 1, 2),
+ev AS MATERIALIZED (SELECT e.video_id, e.event_index, e.event_id, e.start_seconds, e.end_seconds, e.predicates, e.concepts, coalesce(av.attrs, []) AS attrs, coalesce(tk.toks, []) AS toks, CAST(printf('%.4f', e.support) AS DOUBLE) AS support, rc.acov, rc.ccov
+  FROM e JOIN rc ON rc.video_id = e.video_id AND rc.event_index = e.event_index LEFT JOIN tk ON tk.video_id = e.video_id AND tk.event_index = e.event_index LEFT JOIN av ON av.video_id = e.video_id AND av.event_index = e.event_index),
+qq AS MATERIALIZED (SELECT ql.question_id, ql.video_id, coalesce(p.l, []) AS qp, coalesce(k.l, []) AS qc, list_sort(list_distinct(list_transform(attrs, lambda x: regexp_replace(x, '^.*:', '')))) AS qa, toks AS qw,
+  CASE WHEN regexp_matches(ql, '\\b(after|following)\\b') THEN 'after' WHEN regexp_matches(ql, '\\b(before|prior to|preceding)\\b') THEN 'before' WHEN regexp_matches(ql, '\\b(then|followed by|sequence|order)\\b') THEN 'sequence' END AS relation
+  FROM ql JOIN q1 USING (question_id) LEFT JOIN (SELECT question_id, list({{'t': term, 'w': w}} ORDER BY term) AS l FROM qt WHERE kind = 'a' GROUP BY 1) p USING (question_id) LEFT JOIN (SELECT question_id, list({{'t': term, 'w': w}} ORDER BY term) AS l FROM qt WHERE kind = 'c' GROUP BY 1) k USING (question_id)),
+pr AS MATERIALIZED (SELECT *, {_six(_RELEVANCE)} AS relevance FROM (SELECT x.*, v.event_id, v.event_index, v.start_seconds, v.end_seconds, v.support, v.acov, v.ccov, mp, mc, ma, mt, {_scores('mp', 'mc', 'ma', 'mt')}
+  FROM (SELECT q.*, v.event_id AS vid, list_filter(v.predicates, lambda t: list_contains(list_transform(q.qp, lambda y: y.t), t)) AS mp, list_filter(v.concepts, lambda t: list_contains(list_transform(q.qc, lambda y: y.t), t)) AS mc,
+    list_intersect(v.attrs, q.qa) AS ma, list_intersect(v.toks, q.qw) AS mt FROM qq q JOIN ev v ON v.video_id = q.video_id) x JOIN ev v ON v.event_id = x.vid)),
+sd AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, start_seconds, event_id) AS seed_rank FROM
+  (SELECT *, {_six(f'least(1.0, 0.77 * ({_RELEVANCE}) + 0.1 * support + 0.08 * ((acov + ccov) / 2.0) + joint)')} AS score FROM pr WHERE len(mp) + len(mc) + len(ma) + len(mt) > 0)) WHERE seed_rank <= 20),
+ed AS (SELECT * FROM ({edges}) g WHERE source <> target AND EXISTS (SELECT 1 FROM ev WHERE ev.event_id = g.source) AND EXISTS (SELECT 1 FROM ev WHERE ev.event_id = g.target)),
+fw AS MATERIALIZED (SELECT source AS at, arg_max(target, place) AS nxt FROM ed GROUP BY 1), bw AS MATERIALIZED (SELECT target AS at, arg_max(source, place) AS nxt FROM ed GROUP BY 1),
+walk AS (SELECT event_id AS seed, event_id AS id, 0 AS off, 1 AS way, [event_id] AS path FROM ev UNION ALL SELECT event_id, event_id, 0, -1, [event_id] FROM ev
+  UNION ALL SELECT w.seed, n.nxt, w.off + w.way, w.way, list_append(w.path, n.nxt) FROM walk w JOIN (SELECT *, 1 AS way FROM fw UNION ALL SELECT *, -1 FROM bw) n ON n.at = w.id AND n.way = w.way WHERE abs(w.off) < 2 AND NOT list_contains(w.path, n.nxt)),
+near AS MATERIALIZED (SELECT sd.question_id, sd.seed_rank, w.off, pr.event_id, pr.event_index, pr.start_seconds, pr.end_seconds, pr.support, pr.acov, pr.ccov, pr.mp, pr.mc, pr.ma, pr.mt AS words, pr.relevance,
+  list_concat(list_transform(pr.mp, lambda x: 'p:' || x), list_transform(pr.mc, lambda x: 'c:' || x), list_transform(pr.ma, lambda x: 'a:' || x)) AS terms
+  FROM sd JOIN walk w ON w.seed = sd.event_id AND (w.off <> 0 OR w.way = 1) JOIN pr ON pr.question_id = sd.question_id AND pr.event_id = w.id
+  WHERE NOT coalesce((sd.relation = 'after' AND w.off < 0) OR (sd.relation = 'before' AND w.off > 0), false)),
+s0 AS (SELECT sd.question_id, sd.seed_rank, sd.relation, 0 AS lo, 0 AS hi, true AS alive, n.terms, n.words, CAST(NULL AS VARCHAR) AS reason FROM sd JOIN near n ON n.question_id = sd.question_id AND n.seed_rank = sd.seed_rank AND n.off = 0),
+{_hop(0)}, {_hop(1)},
+gm AS (SELECT s.question_id, s.seed_rank, any_value(s.reason) AS expansion_reason, list(n.event_id ORDER BY off) AS event_ids, arg_min(n.start_seconds, off) AS first_start, min(n.start_seconds) AS start_seconds, max(n.end_seconds) AS end_seconds,
+    list_sort(list_distinct(flatten(list(mp)))) AS gp, list_sort(list_distinct(flatten(list(mc)))) AS gc, list_sort(list_distinct(flatten(list(ma)))) AS ga, list_distinct(flatten(list(n.words))) AS gw,
+    avg(support) AS sup, (avg(acov) + avg(ccov)) / 2.0 AS cov, count(*) AS size, max(relevance) FILTER (len(n.terms) + len(n.words) > 0) AS alone, any_value(n.event_id) FILTER (off = 0) AS anchor, -min(s.lo) AS step
+  FROM s2 s JOIN near n ON n.question_id = s.question_id AND n.seed_rank = s.seed_rank AND n.off BETWEEN s.lo AND s.hi GROUP BY 1, 2),
+gs AS (SELECT *, {_six(_RELEVANCE)} AS rel, {_six(f'least(1.0, 0.77 * ({_RELEVANCE}) + 0.1 * sup + 0.08 * cov + joint)')} AS base FROM (SELECT gm.*, x.video_id, x.qp, x.qc, x.qa, x.qw, {_scores('gp', 'gc', 'ga', 'gw')} FROM gm JOIN qq x USING (question_id))),
+gt AS (SELECT *, greatest(0.0, rel - alone) AS gain, CASE WHEN size = 1 THEN base ELSE {_six('least(1.0, base + 0.08 * greatest(0.0, rel - alone)) - 0.015 * (size - 1)')} END AS score FROM gs),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, first_start, event_ids) AS rank FROM (SELECT * FROM gt QUALIFY row_number() OVER (PARTITION BY question_id, event_ids ORDER BY score DESC, seed_rank) = 1) QUALIFY rank <= 5)"""
+
+
+_CHAIN_SQL = "SELECT l.video_id, l.event_id AS source, n.event_id AS target, 0 AS place FROM e l JOIN e n ON n.video_id = l.video_id AND n.event_index = l.event_index + 1"
+# Edges that leave events out, lead back, meet in one event, and end in events that are not there.
+_JUMPS_SQL = "SELECT l.video_id, l.event_id AS source, n.event_id AS target, 2 * l.event_index + 1 AS place FROM e l JOIN e n ON n.video_id = l.video_id AND n.event_index = (l.event_index * 7 + 3) % 31 UNION ALL SELECT video_id, event_id, event_id || 'x', 1000000 FROM e UNION ALL SELECT l.video_id, l.event_id, n.event_id, 2 * l.event_index + 1000 FROM e l JOIN e n ON n.video_id = l.video_id AND n.event_index = l.event_index - 2 WHERE l.event_index % 3 = 0"
+_GROUP_COLUMNS = """question_id, CAST(rank AS INT) AS rank, array_to_string(event_ids, ',') AS events, anchor AS anchor_event_id, start_seconds, end_seconds, round(score, 6) AS score, array_to_string(gp, ',') AS predicates, array_to_string(gc, ',') AS concepts, array_to_string(ga, ',') AS attributes, expansion_reason,
+  array_to_string(list_concat(list_transform(gp, lambda x: 'query_action:' || x), list_transform(gc, lambda x: 'query_concept:' || x), [anchor], flatten(list_transform(list_reverse(event_ids[1:step]), lambda x: ['inverse:temporal_before', x])), flatten(list_transform(event_ids[step + 2:], lambda x: ['temporal_before', x]))), ' ') AS path,
+  rel AS query_relevance, round(ac, 6) AS action_coverage, round(cc, 6) AS concept_coverage, round(tc, 6) AS attribute_coverage, round(lc, 6) AS lexical_coverage, round(sup, 6) AS structural_support, round(cov, 6) AS representative_coverage, joint AS joint_match_bonus,
+  CASE WHEN size > 1 THEN round(gain, 6) END AS multi_event_coverage_gain, CASE WHEN size > 1 THEN round(0.015 * (size - 1), 6) END AS expansion_penalty"""
+
+
+def _group_rows(ranked):
     return ranked.select(
-        "question_id", "rank", "event_ids", "anchor_event_id", "start_seconds", "end_seconds", "score", "matched_predicates", "matched_concepts", "expansion_reason", "reasoning_path"
+        "question_id", "rank", F.array_join("event_ids", ",").alias("events"), "anchor_event_id", "start_seconds", "end_seconds", "score", F.array_join("matched_predicates", ",").alias("predicates"),
+        F.array_join("matched_concepts", ",").alias("concepts"), F.array_join("matched_attributes", ",").alias("attributes"), "expansion_reason", F.array_join("reasoning_path", " ").alias("path"), "components.*",
     )
 
 
-@query("graph_evidence")
+@query("event_groups_ranked", f"{_group_cte(_CHAIN_SQL)} SELECT {_GROUP_COLUMNS} FROM rk")
+def event_groups_ranked(spark, sf_dir):
+    questions, built = _lookup(spark, sf_dir)
+    return _group_rows(graphquery.retrieve_groups(questions, built)[1])
+
+
+@query("event_groups_on_edges", f"{_group_cte(_JUMPS_SQL)} SELECT {_GROUP_COLUMNS} FROM rk")
+def event_groups_on_edges(spark, sf_dir):
+    """Groups grown along a given edge table instead of the order of events."""
+    questions, built = _lookup(spark, sf_dir)
+    ids = built.select("video_id", "event_index", F.col("event_id").alias("source"))
+    other = built.select("video_id", F.col("event_index").alias("_n"), F.col("event_id").alias("target"))
+
+    def to(number, place, rows=ids):
+        return rows.withColumns({"_n": number, "place": place}).join(other, ["video_id", "_n"]).select("video_id", "source", "target", F.col("place").cast("bigint").alias("place"))
+
+    i = F.col("event_index")
+    jumps = to((i * 7 + 3) % 31, 2 * i + 1).unionByName(to(i - 2, 2 * i + 1000, ids.filter(i % 3 == 0)))
+    lost = ids.select("video_id", "source", F.concat("source", F.lit("x")).alias("target"), F.lit(1000000).cast("bigint").alias("place"))
+    edges = jumps.unionByName(lost).withColumn("relation", F.lit("temporal_before"))
+    return _group_rows(graphquery.retrieve_groups(questions, built, edges=edges, order="place")[1])
+
+
+_EVIDENCE_SQL = f"""{_group_cte(_CHAIN_SQL)},
+vs AS (SELECT *, row_number() OVER (PARTITION BY question_id, event_id ORDER BY rank, position) AS visit FROM (SELECT question_id, rank, score, gp, gc, unnest(event_ids) AS event_id, generate_subscripts(event_ids, 1) - 1 AS position FROM rk)),
+rv AS (SELECT vs.*, rp.clip_id, rp.start_seconds, rp.end_seconds, rp.role, rp.selection_score, row_number() OVER (PARTITION BY vs.question_id, vs.rank, vs.position ORDER BY len(list_filter(rp.covered_actions, lambda t: list_contains(list_transform(x.qp, lambda y: y.t), t))) DESC,
+    len(list_filter(rp.covered_informative_concepts, lambda t: list_contains(list_transform(x.qc, lambda y: y.t), t))) DESC, rp.selection_score DESC, rp.clip_index) - 1 AS i FROM vs JOIN rp USING (event_id) JOIN qq x ON x.question_id = vs.question_id),
+nb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, position, i) AS evidence_rank FROM rv WHERE i // 2 + 1 = visit)
+SELECT question_id, CAST(evidence_rank AS INT) AS evidence_rank, clip_id, start_seconds, end_seconds, round(score, 6) AS confidence, event_id, CAST(rank AS INT) AS candidate_rank, role AS representative_role, selection_score AS representative_selection_score FROM nb WHERE evidence_rank <= 5"""
+
+
+@query("graph_evidence", _EVIDENCE_SQL)
 def graph_evidence(spark, sf_dir):
     questions, built = _lookup(spark, sf_dir)
     normalized, ranked = graphquery.retrieve_groups(questions, built)
-    return graphquery.select_evidence(ranked, normalized, built)
+    return graphquery.select_evidence(ranked, normalized, built).drop("video_id")
 
 
-@query("event_catalogue")
+@query(
+    "event_catalogue",
+    f"""{_REP_CTE} SELECT e.video_id, e.event_id, e.event_index, e.start_seconds, array_to_string(e.predicates, ',') AS predicates, array_to_string(list_filter(e.concepts, lambda x: NOT list_contains({_STOP}, x)), ',') AS concepts, c.summary, c.tool AS visible_instruments
+        FROM e JOIN rp ON rp.event_id = e.event_id AND rp.j = 1 JOIN c ON c.clip_id = rp.clip_id""",
+)
 def event_catalogue(spark, sf_dir):
     assigned = cut_lineage(_assigned(spark, sf_dir))
-    return graphquery.event_catalogue(events.build_events(assigned), assigned)
+    out = graphquery.event_catalogue(events.build_events(assigned), assigned)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("predicates", "concepts", "visible_instruments")})
 
 
-@query("event_frame_groups")
+@query(
+    "event_frame_groups",
+    f"""{_REP_CTE} SELECT e.video_id, e.event_id, z.clip_id, z.start_seconds, z.end_seconds, z.clip_id || '/0 ' || z.clip_id || '/2 ' || z.clip_id || '/5 ' || z.clip_id || '/7' AS reader_frame_paths,
+        CASE WHEN e.event_index % 2 = 0 THEN 'event_onset_clip' ELSE 'event_representative_clip' END AS selection, NULL AS reason FROM e JOIN rp ON rp.event_id = e.event_id AND rp.j = 1 JOIN z ON z.clip_id = CASE WHEN e.event_index % 2 = 0 THEN e.clips[1] ELSE rp.clip_id END
+        UNION ALL SELECT video_id, event_id || 'x', NULL, NULL, NULL, NULL, NULL, 'unknown_event' FROM e""",
+)
 def event_frame_groups(spark, sf_dir):
     assigned = cut_lineage(_assigned(spark, sf_dir))
     built = events.build_events(assigned)
@@ -481,4 +629,5 @@ def event_frame_groups(spark, sf_dir):
     # One more request names an event that its recording does not have.
     chosen = chosen.unionByName(built.select(F.concat(F.lit("lost"), "event_id").alias("question_id"), "video_id", F.concat("event_id", F.lit("x")).alias("event_id"), F.lit(True).alias("prefer_onset")))
     good, bad = graphquery.event_frame_groups(chosen, built, assigned.select("video_id", "clip_id", "start_seconds", "end_seconds", names.alias("frame_paths")), 4)
-    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True).drop("question_id")
+    rows = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True).drop("question_id")
+    return rows.withColumn("reader_frame_paths", F.array_join("reader_frame_paths", " "))

@@ -201,3 +201,28 @@ def test_questions_step_along_the_timeline(spark):
     assert (got["earlier"].anchor_event_id, got["earlier"].event_ids) == (last, [middle, last])
     assert got["earlier"].reasoning_path[-2:] == ["inverse:temporal_before", middle]
     assert [r.question_id for r in graphquery.unmatched(questions, ranked).collect()] == ["none"]
+
+
+def test_steps_follow_the_last_edge_of_each_event(spark):
+    """A plain walk over dictionaries, as edges overwrite each other in order; branches, loops, cycles and unknown ends."""
+    rng = random.Random(5)
+    for round_ in range(3):
+        names = [f"e{i}" for i in range(12)]
+        edges = [(v, rng.choice(names), rng.choice(names + ["lost"]), rng.choice(["temporal_before"] * 4 + ["contains"]), i) for v in "ab" for i in range(25)]
+        table = spark.createDataFrame([(v, n) for v in "ab" for n in names], "video_id string, event_id string")
+        steps = graphquery.event_steps(spark.createDataFrame(edges, "video_id string, source string, target string, relation string, place int"), table, 3, "place")
+        want = set()
+        for v in "ab":
+            after, before = {}, {}
+            for w, s, t, relation, _ in edges:
+                if w == v and relation == "temporal_before" and s != t and t in names:
+                    after[s], before[t] = t, s
+            for n in names:
+                want.add((v, n, 0, n))
+                for sign, to in ((1, after), (-1, before)):
+                    path = [n]
+                    while len(path) <= 3 and to.get(path[-1]) not in (None, *path):
+                        path.append(to[path[-1]])
+                        want.add((v, n, sign * (len(path) - 1), path[-1]))
+        got = [(r.video_id, r.seed_id, r.offset, r.event_id) for r in steps.collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import fresh
+from spanlens.llm.common import fresh, row_key, staged
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(
@@ -19,16 +19,20 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-# Where a value is a credential: a name, an assignment (or "is"), a value up to a space, quote or bracket. Before a sign the
-# name may be part of a longer one (db_pwd, AWS_SECRET_ACCESS_KEY); before "is" it stands alone or after "_", "." or "-".
-NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|api[ _-]?key|(?:access|private|auth)[ _-]?key|login)"
+# Where a value is a credential: a name, an assignment (or "is"), a value up to a space, quote or bracket. The name is a word, or a
+# part of a longer name that "_", ".", "-", a digit or a step from lower to upper case sets off (db_pwd, dbPassword, AWS_SECRET_ACCESS_KEY).
+_WORDS = r"(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credential|api[ _-]?key|(?:access|private|auth)[ _-]?key|login)[sS]?"
+NAME = rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])){_WORDS}(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 CONTEXT = re.compile(
-    rf"""(?:{NAME}[A-Za-z0-9_.-]{{0,64}}["']?\s{{0,4}}[:=]|(?<![A-Za-z0-9]){NAME}(?:[_.-][A-Za-z0-9_.-]{{0,63}})?["']?\s{{0,4}}\bis\b)"""
+    rf"""(?:{NAME}[A-Za-z0-9_.-]{{0,64}}["']?\s{{0,4}}[:=]|(?<![A-Za-z0-9]){NAME}(?:[_.-][A-Za-z0-9_.-]{{0,63}})?["']?\s{{0,4}}\b(?i:is)\b)"""
     r"""\s{0,4}["']?([^\s"'`,;<>()\[\]{}]+)""",
-    re.IGNORECASE | re.ASCII,
+    re.ASCII,
 )
 HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "key", "login")
 
+# Fits wherever CONTEXT does, and is cheap: a hint and soon after it an assignment or "is".
+LOOSE = rf"""(?i)(?:{'|'.join(HINTS)})[A-Za-z0-9_.-]{{0,100}}["']?\s{{0,4}}(?:[:=]|is)"""
+
 # Words by rank: what people choose first, then everyday words. Words counted in the texts follow.
 COMMON_WORDS = (
     "password", "qwerty", "dragon", "monkey", "letmein", "football", "baseball", "welcome", "login", "master", "hello",
@@ -42,16 +46,17 @@ COMMON_WORDS = (
     "system", "database", "company", "manager", "service", "account", "private", "public", "access", "key", "code", "pass",
 )
 
-# A counted word: letters between characters that are neither letters nor digits; seen so often, and once in so many bytes.
+# A counted word: letters between characters that are neither letters nor digits; rarer ones cost brute force.
 WORD = r"(?<![\p{L}\p{N}_])\p{L}{3,24}(?![\p{L}\p{N}_])"
 MIN_WORD_COUNT = 3
-WORD_BYTES = 1 << 21
+SHORTEST, LONGEST = 3, 24
 
 # Rows of a keyboard; a walk stays on neighbouring keys.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("430150$@!7", "aeoisosait")
 DATE = re.compile(r"\d{1,4}([-/._]?)\d{1,2}\1\d{1,4}")
 YEAR = re.compile(r"(?:19|20)\d\d")
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 MIN_LOG10_GUESSES = 10.0
 MIN_LENGTH = 8
 
@@ -92,9 +97,11 @@ class GuessCost:
         for word in words:
             self.rank.setdefault(word.lower(), len(self.rank) + 1)
         self.longest = max(map(len, self.rank), default=0)
-        self.cost = lru_cache(100_000)(self._cost)
 
-    def _cost(self, value: str) -> float:
+    def cost(self, value: str, counted: Mapping[str, int] | None = None) -> float:
+        """``counted`` ranks further words, behind those of the model."""
+        counted, behind = counted or {}, len(self.rank)
+        longest = max([self.longest, *map(len, counted)])
         n, low = len(value), value.lower()
         low = low if len(low) == n else value
         plain = low.translate(LEET)
@@ -110,9 +117,9 @@ class GuessCost:
 
             if here + _char_cost(value[i]) < best[i + 1]:
                 best[i + 1] = here + _char_cost(value[i])
-            for j in range(i + 3, min(n, i + self.longest) + 1):
+            for j in range(i + 3, min(n, i + longest) + 1):
                 for form, extra in ((low, 0.0), (plain, 0.5)):
-                    if rank := self.rank.get(form[i:j]):
+                    if rank := self.rank.get(form[i:j]) or behind * (form[i:j] in counted) + counted.get(form[i:j], 0):
                         changed = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i + 1 : j] == low[i + 1 : j] else 0.5 * (j - i)
                         reach(j, math.log10(rank + 1) + extra + changed)
                         break
@@ -152,18 +159,49 @@ class GuessCost:
         return end
 
 
-def counted_words(docs: DataFrame, text: str = "text") -> tuple[str, ...]:
-    """Words of all texts, the most frequent first: at least MIN_WORD_COUNT times and once in WORD_BYTES of text, so at most WORD_BYTES / 4.
+def substrings(value: str) -> set[str]:
+    """What a counted word could be in a value: runs of 3 to 24 letters of its lower case and of its unmasked form."""
+    low = value.lower()
+    low = low if len(low) == len(value) else value
+    out = set()
+    for form in {low, low.translate(LEET)}:
+        for m in LETTERS.finditer(form):
+            run = m[0]
+            out.update(run[i:j] for i in range(len(run)) for j in range(i + SHORTEST, min(len(run), i + LONGEST) + 1))
+    return out
+
+
+def word_ranks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, rank of all words of all texts seen at least MIN_WORD_COUNT times: 1 + how many words are more frequent.
 
-    Values in credential contexts are no words by themselves, so a secret does not become one by its copies.
+    Values in credential contexts are no words by themselves, so a secret does not become one by its copies. No
+    word is left out for the size of the table. Ranks come from how many words have each count, a table
+    with fewer rows than the root of twice the words there are.
     """
-    own = docs.select(F.lower(F.col(f"`{text}`")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    least = max(MIN_WORD_COUNT, math.ceil(size / WORD_BYTES))
-    plain = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
-    found = own.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    rows = found.where(F.col("n") >= least).collect()
-    return tuple(r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])))
+    plain = F.regexp_replace(F.col(f"`{text}`"), CONTEXT.pattern, " ")
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = staged(found.where(F.col("n") >= MIN_WORD_COUNT), "words")
+    ahead = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    places = found.groupBy("n").agg(F.count("*").alias("k")).select("n", (F.coalesce(ahead, F.lit(0)) + 1).alias("rank"))
+    return found.join(places, "n").select("word", "rank")
+
+
+def value_costs(candidates: DataFrame, ranks: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """value, cost: the guess cost of each distinct value, with the ranks of the words it may hold met by a join."""
+    model = GuessCost(words)
+
+    @F.arrow_udf("array<string>")
+    def parts(values: pa.Array) -> pa.Array:
+        return pa.array([sorted(substrings(v.as_py())) for v in values], pa.list_(pa.string()))
+
+    @F.arrow_udf("double")
+    def cost(values: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array([model.cost(v.as_py(), {k["word"]: k["rank"] for k in (w.as_py() or [])}) for v, w in zip(values, known)], pa.float64())
+
+    values = candidates.select(F.explode("found.value").alias("value")).distinct()
+    asked = values.select("value", F.explode(parts.asNondeterministic()("value")).alias("word"))
+    known = asked.join(ranks, "word").groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("known"))  # no more than a value has substrings
+    return values.join(known, "value", "left").select("value", cost.asNondeterministic()("value", "known").alias("cost"))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -178,26 +216,26 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return spans
 
 
+def credential_values(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the values in credential contexts."""
+    low = text.lower()
+    if not any(k in low for k in HINTS):
+        return []
+    found = [(m.start(1), m[1].rstrip(".!?:")) for m in CONTEXT.finditer(text)]
+    return [(start, start + len(value), value) for start, value in found if len(value) >= MIN_LENGTH]
+
+
 def scan_text(text: str, model: GuessCost, least: float) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], float | None]:
-    """Base spans, added spans ("guess": values of credential contexts outside base spans), highest guess cost seen."""
+    """Base spans, added spans ("guess": values of credential contexts outside base spans), highest guess cost seen, by the model's own words."""
     base = base_spans(text)
-    added, highest = [], None
-    low = text.lower()
-    if any(k in low for k in HINTS):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?:")
-            if len(value) < MIN_LENGTH:
-                continue
-            cost = model.cost(value)
-            highest = cost if highest is None else max(highest, cost)
-            start, end = m.start(1), m.start(1) + len(value)
-            if cost >= least and not any(s < end and start < e for s, _, e in base):
-                added.append((start, "guess", end))
-    return base, added, highest
+    costs = [(start, end, model.cost(value)) for start, end, value in credential_values(text)]
+    added = [(start, "guess", end) for start, end, cost in costs if cost >= least and not any(s < end and start < e for s, _, e in base)]
+    return base, added, max((c for _, _, c in costs), default=None)
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
-RESULT = "struct<base:array<struct<start:bigint,kind:string,end:bigint>>,added:array<struct<start:bigint,kind:string,end:bigint>>,max_guess_log10:double>"
+FOUND = "start:bigint,end:bigint,value:string"
+FOUND_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 
@@ -206,27 +244,40 @@ def find_secrets(docs: DataFrame, text: str = "text", words: tuple[str, ...] = C
 
     Spans are (start, kind, end) in code points, end exclusive, by start and then kind. Added spans are
     values in credential contexts that cost at least 10^``min_log10_guesses`` guesses and touch no base
-    span. Words cost by rank: ``words`` first, then those counted in all texts (``counted_words``). The scan is
-    one pass without a shuffle: a text stays in its row, and long texts are scanned whole in linear time.
+    span. Words cost by rank: ``words`` first, then those counted in all texts (``word_ranks``). The distinct values are
+    listed first; only the words they may hold meet the counts in a join, so nothing is sent whole to the workers
+    and no word is dropped for the size of the table. Long texts are scanned whole in linear time.
 
     Null and empty texts have no spans and a null cost. Repeated rows each get their spans. A column
     called ``secrets`` stays; the new one is then ``secrets_1``.
     """
-    models: list[GuessCost] = []
-    ranked = docs.sparkSession.sparkContext.broadcast((*words, *counted_words(docs, text)))
-
-    @F.arrow_udf(RESULT)
-    def scan(texts: pa.Array) -> pa.Array:
-        if not models:
-            models.append(GuessCost(ranked.value))
-        rows = []
-        for value in texts:
-            base, added, highest = scan_text(value.as_py() or "", models[0], min_log10_guesses)
-            rows.append({
-                "base": [{"start": s, "kind": k, "end": e} for s, k, e in sorted(base, key=lambda x: (x[0], ORDER[x[1]]))],
-                "added": [{"start": s, "kind": k, "end": e} for s, k, e in added],
-                "max_guess_log10": highest,
-            })
-        return pa.array(rows, pa.struct([("base", pa.list_(SPAN)), ("added", pa.list_(SPAN)), ("max_guess_log10", pa.float64())]))
-
-    return docs.withColumn(fresh(docs, "secrets"), scan(F.col(f"`{text}`")))
+    value = F.col(f"`{text}`")
+
+    @F.arrow_udf(f"array<struct<{FOUND}>>")
+    def find(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("start", "end", "value"), f)) for f in credential_values(t.as_py() or "")] for t in texts], FOUND_TYPE)
+
+    @F.arrow_udf("array<struct<start:bigint,kind:string,end:bigint>>")
+    def bases(texts: pa.Array) -> pa.Array:
+        spans = [sorted(base_spans(t.as_py() or ""), key=lambda x: (x[0], ORDER[x[1]])) for t in texts]
+        return pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row] for row in spans], pa.list_(SPAN))
+
+    context = F.coalesce(value.rlike(LOOSE), F.lit(False))
+    candidates = docs.where(context).select(row_key(text).alias("key"), find.asNondeterministic()(value).alias("found")).where(F.size("found") > 0)
+    candidates = staged(candidates.groupBy("key").agg(F.first("found").alias("found")), "credentials")  # equal keys are equal texts
+    costs = value_costs(candidates, word_ranks(docs, text), words)
+    priced = candidates.select("key", F.explode("found").alias("f")).select("key", "f.*").join(costs, "value")
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "cost")))
+    priced = staged(priced.groupBy("key").agg(spans.alias("spans")), "priced")  # a text and its own values
+    out, key, base, own = (fresh(docs, n) for n in ("secrets", "__key", "__base", "__spans"))
+    # Only texts that may have a credential context move; the others keep their place.
+    scanned = docs.withColumn(base, bases.asNondeterministic()(value))
+    moving = scanned.where(context).withColumn(key, row_key(text)).join(priced.select(F.col("key").alias(key), F.col("spans").alias(own)), key, "left")
+    resting = scanned.where(~context).withColumn(own, F.lit(None).cast("array<struct<start:bigint,end:bigint,cost:double>>"))
+    columns = [F.col(f"`{c}`") for c in (*docs.columns, base, own)]
+    every = moving.select(columns).unionByName(resting.select(columns))
+    spans, known = F.coalesce(F.col(own), F.array().cast("array<struct<start:bigint,end:bigint,cost:double>>")), F.col(base)
+    clear = lambda s: (s["cost"] >= min_log10_guesses) & ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = F.transform(F.filter(spans, clear), lambda s: F.struct(s["start"].alias("start"), F.lit("guess").alias("kind"), s["end"].alias("end")))
+    result = F.struct(known.alias("base"), added.alias("added"), F.array_max(F.transform(spans, lambda s: s["cost"])).alias("max_guess_log10"))
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(out))

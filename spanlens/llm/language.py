@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ LEXICON_AT = N_GRAMS * GRAMS + N_AFFIXES * AFFIXES
 N_FEATURES = LEXICON_AT + LEXICON_SIZE + 1  # the last one: not in the lexicon
 CHUNK_BYTES = 200_000
 SEGMENT = 128
-LETTER = re.compile(r"[^\W\d_]")
 
 # ASCII characters that are no letters part words.
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -30,7 +28,7 @@ _MIX = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (n
 
 def folded(text: str) -> bytes:
     """Lower case, words parted by single bytes 32 wherever no letter stands; empty if there is no letter."""
-    return text.lower().encode("utf-8", "replace").translate(_FOLD) if LETTER.search(text) else b""
+    return text.lower().encode("utf-8", "replace").translate(_FOLD) if any(map(str.isalpha, text)) else b""
 
 
 class Words:
@@ -303,7 +301,7 @@ def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bo
     the maximal runs of words (start, end exclusive) by their most probable language; else it is null. One
     pass without shuffle; only the text reaches the model. The model has a fixed size (a few MB).
 
-    Null, empty and letterless texts: ``und`` with score 0. A model without labels: ``und``. Ties go to the
+    Null, empty and letterless texts (digits, number signs such as "½") are ``und`` with score 0. Texts of any length are labelled whole. A model without labels: ``und``. Ties go to the
     language first by code point. Repeated rows each get the same answer. A column called ``language`` stays;
     the new one is then ``language_1``.
     """
@@ -344,5 +342,5 @@ def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bo
 
 
 def is_held_out(key: Column) -> Column:
-    """Documents that neither train nor tune: crc32 of the id as text, mod 4, is 2."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Documents that neither train nor tune: crc32 of the id as text, mod 4, is 2. A null id is not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -205,14 +205,15 @@ def contamination(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("leak.items")))).alias("items"),
     )
     count = F.arrow_udf(lambda texts: pa.array([len(plain_words(raw)) for raw in raw_texts(texts)], pa.int64()), "bigint")
-    marked, key = docs, fresh(docs, "__key")
-    marked = docs.withColumn(key, row_key(*docs.columns)).join(parts.withColumnRenamed("key", key), key, "left")
+    key, spans, items = (fresh(docs, n) for n in ("__key", "__spans", "__items"))
+    parts = parts.withColumnsRenamed({"key": key, "spans": spans, "items": items})
+    marked = docs.withColumn(key, row_key(*docs.columns)).join(parts, key, "left")
     none = F.array().cast("array<bigint>")
     leak = F.struct(
         count(value).alias("n_words"),
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce(F.col("spans.start"), none).alias("hit_starts"),
-        F.coalesce(F.col("spans.end"), none).alias("hit_ends"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce(F.col(f"{spans}.start"), none).alias("hit_starts"),
+        F.coalesce(F.col(f"{spans}.end"), none).alias("hit_ends"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
     )
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns], leak.alias(out))

@@ -62,7 +62,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     skewed, and meet per text as a set of numbers.
 
     Null text: stays null, no lines. Empty text: stays, no lines. The same row repeated counts as one text, all
-    its copies get the same answer; rows with one key and other texts are texts of their own. A column called
+    its copies get the same answer (overlapping repeats count too: four equal lines become one, three stay); rows with one key and other texts are texts of their own. A column called
     ``deduped`` stays; the new one is then ``deduped_1``.
     """
     own = docs.withColumn(fresh(docs, "__row"), row_key(key, text))
@@ -72,7 +72,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "place")
     first = runs.groupBy("digest").agg(F.min(spot).alias("first"), F.count("*").alias("k")).where("k > 1")
     later = runs.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
-    places = later.groupBy("key").agg(F.collect_set("place").alias("__places")).withColumnRenamed("key", mark)
+    covered = fresh(own, "__places")
+    places = later.groupBy("key").agg(F.collect_set("place").alias(covered)).withColumnRenamed("key", mark)
     joined = own.join(places, mark, "left")
-    result = _cut(window)(F.col(f"`{text}`"), F.col("__places"))
+    result = _cut(window)(F.col(f"`{text}`"), F.col(covered))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(fresh(docs, "deduped")))

@@ -81,12 +81,12 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, text: st
     appended before the counts are read back. Copies meet in a partial aggregate, so a content that a
     third of all rows share leaves each map task once. The cache may be shared by any number of runs.
 
-    Null and empty texts: 0 bytes, 0 tokens. Repeated rows: each gets its count. No rows: no rows, and
+    Null and empty texts: 0 bytes, 0 tokens. Very long texts are encoded whole. Repeated rows: each gets its count. No rows: no rows, and
     nothing is appended. A column called ``tokens`` stays; the new one is then ``tokens_1``.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
-    out, digest = fresh(docs, "tokens"), fresh(docs, "content_digest")
+    out, digest, number, size = (fresh(docs, n) for n in ("tokens", "content_digest", "__n", "__bytes"))
     content = normalised(F.col(f"`{text}`"))
     contents = docs.select(F.unhex(F.sha2(content, 256)).alias("content_digest"), content.alias("content"))
     misses = contents.groupBy("content_digest").agg(F.first("content").alias("content"))
@@ -94,8 +94,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, text: st
     counted = misses.select("content_digest", encoder(tokenizer_path)("content").alias("n_tokens"), F.lit(version).alias("tokenizer_digest"))
     counted.write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     # Staged, so that both sides of the join are plain exchanges and a content of many rows can be split.
-    counts = staged(read_cache(spark, cache_path, version), "counts").select(F.col("content_digest").alias(digest), F.col("n_tokens").alias("__n"))
-    keyed = docs.withColumn(digest, F.unhex(F.sha2(content, 256))).withColumn("__bytes", F.octet_length(content).cast("bigint"))
+    counts = staged(read_cache(spark, cache_path, version), "counts").select(F.col("content_digest").alias(digest), F.col("n_tokens").alias(number))
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(content, 256))).withColumn(size, F.octet_length(content).cast("bigint"))
     joined = keyed.join(counts, digest, "left")
-    result = F.struct(F.col("__bytes").alias("n_bytes"), F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit"))
+    result = F.struct(F.col(size).alias("n_bytes"), F.col(number).alias("n_tokens"), (F.col(number) > limit).alias("over_limit"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(out))

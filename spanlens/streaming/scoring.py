@@ -21,7 +21,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of all finished batches, or nothing before the first one."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

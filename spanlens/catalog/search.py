@@ -8,7 +8,7 @@ from spanlens.catalog import query
 from spanlens.catalog.inputs import recordings, table
 from spanlens.catalog.questions import spans_sql
 from spanlens.catalog.timeline import windows_sql
-from spanlens.operators import metrics, retrieve, vectorsearch, windows
+from spanlens.operators import clusterindex, metrics, retrieve, vectorsearch, windows
 
 K = 8
 _SPANS = """SELECT doc_id AS qa_uid, doc_id AS video_id, CAST(n_chars AS DOUBLE) / 4 AS a, CAST(n_chars AS DOUBLE) / 2 AS b, CAST(n_chars AS DOUBLE) / 3 AS p FROM documents"""
@@ -137,6 +137,24 @@ def vector_top_k_global(spark, sf_dir):
     return hits.select("qa_uid", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+# Small blocks, so that the given tables make many cells; 4,000 rows are the default.
+CLUSTER_BLOCK_ROWS = 50
+
+
+@query("vector_top_k_pruned_global", _top_sql("true"))
+def vector_top_k_pruned_global(spark, sf_dir):
+    index = clusterindex.build_clusters(index_rows(spark, sf_dir), False, CLUSTER_BLOCK_ROWS)
+    hits = clusterindex.pruned_top_k(query_rows(spark, sf_dir), index, 5)
+    return hits.select("qa_uid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_top_k_pruned_in_recording", _top_sql("q.label = x.label"))
+def vector_top_k_pruned_in_recording(spark, sf_dir):
+    index = clusterindex.build_clusters(index_rows(spark, sf_dir), True, CLUSTER_BLOCK_ROWS)
+    hits = clusterindex.pruned_top_k(query_rows(spark, sf_dir), index, 5)
+    return hits.select("qa_uid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def _pool_sql(first: bool) -> str:
     base = _UNIT if first else "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
     return f"""SELECT chunk_id, frames, array_to_string(list_transform(m, lambda x: CAST(CAST(round(x / n * 10000) AS BIGINT) AS VARCHAR)), ',') AS vec FROM (

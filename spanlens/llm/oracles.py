@@ -83,8 +83,11 @@ cells AS (SELECT lang, rule, step, cutoff, count(*) FILTER (WHERE quality = 1) A
     FROM f JOIN q USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN k >= n * {share} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
         FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS p FROM cells),
-passed AS (SELECT *, min(CAST(p <= {error} / ((SELECT count(DISTINCT coalesce(lang, chr(1))) FROM cells) * {len(RULES)}) AS INT))
-        OVER (PARTITION BY lang, rule ORDER BY step ROWS UNBOUNDED PRECEDING) AS ok FROM tail),
+worst AS (SELECT lang, rule, max(p) AS worst, row_number() OVER (ORDER BY max(p), lang NULLS FIRST, rule) AS place, count(*) OVER () AS chains FROM tail GROUP BY lang, rule),
+whole AS (SELECT *, min(CAST(worst <= {error} / (chains - place + 1) AS INT)) OVER (ORDER BY place) AS whole FROM worst),
+level AS (SELECT lang, rule, whole, {error} / greatest(1, chains - sum(whole) OVER ()) AS level FROM whole),
+passed AS (SELECT t.*, greatest(whole, min(CAST(p <= level AS INT)) OVER (PARTITION BY t.lang, t.rule ORDER BY step ROWS UNBOUNDED PRECEDING)) AS ok
+    FROM tail t JOIN level l ON t.lang IS NOT DISTINCT FROM l.lang AND t.rule = l.rule),
 cut AS (SELECT lang, rule, cutoff FROM passed WHERE ok = 1 AND good - {price} * k > 0
     QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY good - {price} * k DESC, step) = 1),
 over AS (SELECT DISTINCT doc_id FROM f JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang WHERE {measure} > cutoff)

@@ -263,6 +263,53 @@ def test_cutoffs_bound_false_rejections(spark):
     assert got[("en", "symbols")].cutoff == 0.3  # the most lenient that catches all
 
 
+def _holm_cutoffs(rows, risk, error, price):
+    """Plain version: stepwise testing that hands the share of a finished chain to the others, until nothing changes."""
+    from math import comb
+
+    strata = sorted({r[0] for r in rows})
+    chains = {}
+    for stratum in strata:
+        for rule, (measure, cuts) in quality.RULES.items():
+            over, under = measure.split(" / ")
+            cells = []
+            for cut in cuts:
+                out = [(q, m[over] / m[under] > cut) for s, q, m in rows if s == stratum]
+                n, k = sum(q == 1 for q, _ in out), sum(q == 1 and o for q, o in out)
+                p = risk / len(quality.RULES)
+                tail = 1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+                cells.append((cut, tail, sum(q == 0 and o for q, o in out) - price * k))
+            chains[stratum, rule] = cells
+    done = set()
+    while fresh := [c for c in chains if c not in done and all(t <= error / (len(chains) - len(done)) for _, t, _ in chains[c])]:
+        done.add(fresh[0])
+    picked = {}
+    for c, cells in chains.items():
+        passed = []
+        for cut, tail, gain in cells:
+            if c not in done and tail > error / (len(chains) - len(done)):
+                break
+            passed.append((gain, -len(passed), cut))
+        if passed and max(passed)[0] > 0:
+            picked[c] = max(passed)[2]
+    return picked
+
+
+@pytest.mark.parametrize("sizes,expected", [
+    ((600, 420, 310), {"a", "b", "c"}),  # the last stratum only passes at a share the others have freed
+    ((600, 310, 310), {"a"}),
+    ((100, 100, 100), set()),
+])
+def test_finished_chains_free_their_share_of_the_error(spark, sizes, expected):
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    rows = [(s, int(i >= 20), (100, 500, 0 if i >= 20 else 100 + i * 5, 10, 0, 0)) for s, n in zip("abc", sizes) for i in range(n + 20)]
+    fields = ", ".join(f"{n}:bigint" for n in names)
+    holdout = spark.createDataFrame(rows, f"lang string, quality int, measures struct<{fields}>")
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.certified_cutoffs(holdout, "lang").collect()}
+    assert got == _holm_cutoffs([(s, q, dict(zip(names, m))) for s, q, m in rows], 0.04, 0.05, 10.0)
+    assert {s for s, _ in got} == expected
+
+
 @pytest.mark.parametrize("text,least,most", [
     ("password", 0, 2), ("Password", 0, 2.5), ("qwertyuiop", 0, 7), ("aaaaaaaaaaaa", 0, 4), ("12/05/1987", 0, 6), ("xK9#vQ2!pL7z", 12, 30), ("abcabcabcabc", 0, 7), ("", 0, 0),
 ])

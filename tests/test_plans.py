@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def test_time_spans(spark):
     assert {r.q: tuple(r.s) if r.s else None for r in rows} == cases
 
 
+def test_digits_of_every_script_are_read(spark):
+    zeros = [chr(c) for c in range(128, 0x110000) if unicodedata.decimal(chr(c), None) == 0]
+    assert len(zeros) > 50
+    runs = spark.createDataFrame([("".join(chr(ord(z) + i) for i in range(10)),) for z in zeros], "t string")
+    assert {r.a for r in runs.select(timetext.ascii_digits(F.col("t")).alias("a")).collect()} == {"0123456789"}
+    # Bengali, Thai, Tibetan, and mathematical bold, whose digits are two code units each.
+    for zero in "\u09e6\u0e50\u0f20\U0001d7ce":
+        d = [chr(ord(zero) + i) for i in range(10)]
+        text = f"from {d[1]}:{d[0]}{d[2]} to {d[2]}:{d[3]}{d[0]}"
+        got = spark.createDataFrame([(text,)], "t string").select(timetext.parse_time_span(F.col("t")).alias("s")).first().s
+        assert tuple(got) == (62.0, 150.0, "range")
+
+
 @pytest.mark.parametrize("width", [7.0, 300.0])
 def test_interval_retrieval_equals_all_pairs(spark, width):
     rng = random.Random(int(width))

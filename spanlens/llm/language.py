@@ -289,19 +289,20 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", per_labe
 
 
 RUN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
-RESULT_TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("runs", pa.list_(RUN))])
-RESULT = "struct<lang_pred:string,score:double,n_words:bigint,runs:array<struct<start:bigint,end:bigint,lang:string>>>"
+RESULT_TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("certainty", pa.float64()), ("n_words", pa.int64()), ("runs", pa.list_(RUN))])
+RESULT = "struct<lang_pred:string,score:double,certainty:double,n_words:bigint,runs:array<struct<start:bigint,end:bigint,lang:string>>>"
 
 
 def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bool = False, batch_bytes: int = 1_000_000) -> DataFrame:
-    """``docs`` with a struct column ``language``: lang_pred, score, n_words, runs.
+    """``docs`` with a struct column ``language``: lang_pred, score, certainty, n_words, runs.
 
     Each word gets the posterior of each language given the whole text, by forward-backward. ``lang_pred`` is
-    the language with the largest mean over the words and ``score`` that mean. With ``with_runs``, ``runs`` lists
+    the language with the largest mean over the words and ``score`` that mean; ``certainty`` is the mean of each word's
+    highest posterior, so a text that changes between known languages is certain though none of them rules it. With ``with_runs``, ``runs`` lists
     the maximal runs of words (start, end exclusive) by their most probable language; else it is null. One
     pass without shuffle; only the text reaches the model. The model has a fixed size (a few MB).
 
-    Null, empty and letterless texts (digits, number signs such as "½") are ``und`` with score 0. Texts of any length are labelled whole. A model without labels: ``und``. Ties go to the
+    Null, empty and letterless texts (digits, number signs such as "½") are ``und`` with score and certainty 0. Texts of any length are labelled whole. A model without labels: ``und``. Ties go to the
     language first by code point. Repeated rows each get the same answer. A column called ``language`` stays;
     the new one is then ``language_1``.
     """
@@ -313,7 +314,7 @@ def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bo
         out, at = [], 0
         for n in lengths.tolist():
             if not n or not m.labels:
-                out.append({"lang_pred": "und", "score": 0.0, "n_words": n, "runs": [] if with_runs else None})
+                out.append({"lang_pred": "und", "score": 0.0, "certainty": 0.0, "n_words": n, "runs": [] if with_runs else None})
                 continue
             own = post[at : at + n]
             mean, runs = own.mean(axis=0), None
@@ -322,7 +323,7 @@ def label_texts(docs: DataFrame, model: Model, text: str = "text", with_runs: bo
                 tags = own.argmax(axis=1)
                 cuts = np.flatnonzero(np.concatenate(([True], tags[1:] != tags[:-1], [True])))
                 runs = [{"start": int(a), "end": int(b), "lang": m.labels[tags[a]]} for a, b in zip(cuts, cuts[1:])]
-            out.append({"lang_pred": m.labels[best], "score": float(min(1.0, mean[best])), "n_words": n, "runs": runs})
+            out.append({"lang_pred": m.labels[best], "score": float(min(1.0, mean[best])), "certainty": float(min(1.0, own.max(axis=1).mean())), "n_words": n, "runs": runs})
             at += n
         return out
 

@@ -12,21 +12,22 @@ from pyspark.sql import functions as F
 from spanlens.llm import decontaminate, jaccard, language, line_dedup, mixing
 from spanlens.llm.common import WORD_RE, fresh, row_key, staged, table
 
-MIN_LANGUAGE_SCORE = 0.5
+MIN_CERTAINTY = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one learned language holds more than MIN_LANGUAGE_SCORE of the words' probability.
+    """Documents whose words are surely of learned languages: their highest posteriors have a mean above MIN_CERTAINTY.
 
-    Learns from the rows with a language. Null, empty and letterless texts go. If no row names a language,
-    nothing can be judged and all rows stay.
+    Texts that change between learned languages stay, however even their shares. Learns from the rows with a
+    language. Null, empty and letterless texts go. If no row names a language, nothing can be judged and all
+    rows stay. Equal rows are judged alike; an empty table stays empty.
     """
     model = language.train(docs)
     if not model.labels:
         return docs
     tagged = language.label_texts(docs, model)
     mark = F.col(f"`{tagged.columns[-1]}`")
-    return tagged.where((mark["lang_pred"] != "und") & (mark["score"] > MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return tagged.where((mark["lang_pred"] != "und") & (mark["certainty"] > MIN_CERTAINTY)).select(docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window of ten words (or short item)."""
+    """Documents without any benchmark window of ten words (or short item). Null and empty texts have none and stay; equal rows go or stay together."""
     marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return marked.where(F.col(f"`{marked.columns[-1]}`.n_hit") == 0).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often and how far each document goes into the mix: one row for each, ``taken`` words in all."""
+    """How often and how far each document goes into the mix: one row for each (equal rows too), ``taken`` words in all. Null and empty texts take 0; an empty table gives none."""
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, max_epochs=2.0)
 
 

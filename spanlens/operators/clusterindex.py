@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from spanlens.functions import vectors
 from spanlens.operators.vectorsearch import SCORE_DIGITS, _cosine_block
-from spanlens.plans import blocks
-from spanlens.plans.topk import top_per_group
+from spanlens.plans import blocks, pruned
 from spanlens.session import cut_lineage
 from spanlens.sources import store
 
@@ -139,7 +138,7 @@ def _asked(queries: DataFrame, index: ClusterIndex, query_id: str) -> DataFrame:
 
 
 def _with_rings(asked: DataFrame, index: ClusterIndex, k: int) -> DataFrame:
-    """Adds ``_rings``, nearest first with an upper bound of their scores, and ``_first``, how many of them hold ``k`` rows.
+    """Adds ``_rings``, nearest first with an upper bound of their scores, and ``_first`` (see ``pruned``).
 
     A key has at most (MAX_CELLS + 1) * RINGS rings, so the array in a row is bounded.
     """
@@ -152,62 +151,27 @@ def _with_rings(asked: DataFrame, index: ClusterIndex, k: int) -> DataFrame:
         return F.struct(gap.alias("gap"), d.alias("d"), r["cell"].alias("cell"), r["ring"].alias("ring"), r["parts"].alias("parts"), r["n"].alias("n"), upper.alias("upper"))
 
     near = asked.join(packed, list(index.keys)).withColumn("_rings", F.array_sort(F.transform("_rings", bounded)))
-    start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("long").alias("rows"))
-    step = lambda a, r: F.when(a["rows"] >= k, a).otherwise(F.struct((a["taken"] + 1).alias("taken"), (a["rows"] + r["n"]).alias("rows")))
-    return near.withColumn("_first", F.aggregate("_rings", start, step, lambda a: a["taken"]))
-
-
-def _first_meetings(near: DataFrame) -> DataFrame:
-    return near.withColumn("_ring", F.explode(F.slice("_rings", F.lit(1), F.col("_first"))))
-
-
-def _other_meetings(near: DataFrame, index: ClusterIndex, best: DataFrame, k: int, query_id: str) -> DataFrame:
-    floor = best.filter(F.col("rank") == k).select(*index.keys, query_id, F.col("score").alias("_floor"))
-    rest = near.join(floor, [*index.keys, query_id], "left").withColumn("_floor", F.coalesce("_floor", F.lit(float("-inf"))))
-    left = F.filter(
-        F.slice("_rings", F.col("_first") + 1, F.greatest(F.lit(0), F.size("_rings") - F.col("_first"))),
-        # A ring whose bound is not a number is met.
-        lambda r: ~(r["upper"] < F.col("_floor") - SCORE_SLACK),
-    )
-    return rest.withColumn("_ring", F.explode(left))
-
-
-def _scored(met: DataFrame, index: ClusterIndex, k: int, query_id: str, carry: list[str], left_rows: int) -> DataFrame:
-    """Best rows of each query inside the blocks it meets. A block is copied once for every ``left_rows`` queries that meet it, no more."""
-    block = [*index.keys, "cell", "ring"]
-    met = met.select(*index.keys, query_id, "vec", "_ring.cell", "_ring.ring", "_ring.parts")
-    asked = met.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / left_rows).cast("int").alias("_groups"))
-    slot = F.pmod(F.xxhash64(query_id), F.col("_groups").cast("long")).cast("int")
-    left = met.join(asked, block).withColumn("_lb", slot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = index.rows.join(asked, block).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
-    cell = [*block, "part", "_lb"]
-    return blocks.best_in_cells(
-        left.drop("parts", "_groups").groupBy(*cell), right.drop("_groups").groupBy(*cell), left, right, list(index.keys), query_id, "chunk_id", ["ord"], carry, _cosine_block, k
-    )
+    return pruned.with_first(near, k)
 
 
 def _carry(index: ClusterIndex) -> list[str]:
     return ["start_seconds", "end_seconds", *([] if index.keys == ("video_id",) else ["video_id"])]
 
 
-def _best(hits: DataFrame, index: ClusterIndex, k: int, query_id: str) -> DataFrame:
-    return top_per_group(hits, [*index.keys, query_id], [F.col("score").desc(), F.col("ord").asc()], k)
+def _search(index: ClusterIndex, k: int, query_id: str, left_rows: int) -> tuple:
+    """What ``pruned`` takes after the queries with their rings."""
+    return index.rows, list(index.keys), query_id, "chunk_id", ["ord"], _carry(index), ["vec"], _cosine_block, k, left_rows, SCORE_SLACK
 
 
 def pruned_top_k(queries: DataFrame, index: ClusterIndex, k: int, query_id: str = "qa_uid", left_rows: int = blocks.LEFT_BLOCK_ROWS) -> DataFrame:
     """Best ``k`` chunks per query by cosine, equal to ``vectorsearch.cosine_top_k`` over the same rows; ties go to the lower ``ord``."""
-    carry = _carry(index)
-    near = _with_rings(_asked(queries, index, query_id), index, k)
-    first = cut_lineage(_best(_scored(_first_meetings(near), index, k, query_id, carry, left_rows), index, k, query_id))
-    others = _scored(_other_meetings(near, index, first, k, query_id), index, k, query_id, carry, left_rows)
-    hits = _best(first.drop("rank").unionByName(others), index, k, query_id)
+    hits = pruned.pruned_best(_with_rings(_asked(queries, index, query_id), index, k), *_search(index, k, query_id, left_rows))
     return hits.select(query_id, "video_id", "rank", "chunk_id", "start_seconds", "end_seconds", "score", F.lit("visual").alias("source"))
 
 
 def pruning_report(queries: DataFrame, index: ClusterIndex, k: int, query_id: str = "qa_uid", left_rows: int = blocks.LEFT_BLOCK_ROWS) -> DataFrame:
     """One row: meetings of a query with a block in the search over all blocks, and those the bounds leave."""
     near = _with_rings(_asked(queries, index, query_id), index, k)
-    first = cut_lineage(_best(_scored(_first_meetings(near), index, k, query_id, _carry(index), left_rows), index, k, query_id))
-    met = _first_meetings(near).select("_ring.parts").unionByName(_other_meetings(near, index, first, k, query_id).select("_ring.parts"))
+    met = pruned.meetings(near, *_search(index, k, query_id, left_rows))
     every = near.select(F.explode("_rings").alias("_ring")).agg(F.coalesce(F.sum("_ring.parts"), F.lit(0)).alias("all_meetings"))
-    return every.join(met.agg(F.coalesce(F.sum("parts"), F.lit(0)).alias("scored_meetings")), how="full_outer", on=F.lit(True))
+    return every.join(met, how="full_outer", on=F.lit(True))

@@ -631,3 +631,35 @@ def event_frame_groups(spark, sf_dir):
     good, bad = graphquery.event_frame_groups(chosen, built, assigned.select("video_id", "clip_id", "start_seconds", "end_seconds", names.alias("frame_paths")), 4)
     rows = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True).drop("question_id")
     return rows.withColumn("reader_frame_paths", F.array_join("reader_frame_paths", " "))
+
+
+_SEED_EVENTS = """SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE concat('u', user_id % 20) END AS video_id, concat('e', event_id) AS event_id, CAST(event_id AS DOUBLE) AS start_seconds,
+    event_type AS p, concat('g', user_id % 12) AS c, concat('w', event_id % 50) AS t, CAST(event_id % 97 AS DOUBLE) / 100 AS support, CAST(user_id % 5 AS DOUBLE) / 4 AS cover FROM {events}"""
+_SEED_QUESTIONS = """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'hot' ELSE concat('u', c_custkey % 20) END AS video_id, c_custkey AS question_id,
+    CASE WHEN c_mktsegment < 'C' THEN 'click' WHEN c_mktsegment < 'I' THEN 'purchase' END AS p, concat('g', c_nationkey) AS c, concat('w', c_custkey % 60) AS t FROM {customer}"""
+_SEED_USED = "(CASE WHEN q.p IS NULL THEN 0 ELSE 0.5 END::DOUBLE + 0.35::DOUBLE + 0.1::DOUBLE)"
+_SEED_HITS = "coalesce((e.p = q.p)::INT, 0) AS a, (e.c = q.c)::INT AS b, (e.t = q.t)::INT AS l"
+
+
+@query(
+    "seeds_of_hot_recording",
+    f"""WITH e AS ({_SEED_EVENTS.format(events='events')}), q AS ({_SEED_QUESTIONS.format(customer='customer')}), m AS (SELECT q.question_id, e.event_id, e.start_seconds, e.support, e.cover, {_SEED_USED} AS used, {_SEED_HITS} FROM q JOIN e ON e.video_id = q.video_id),
+        s AS (SELECT *, {_six("least(1.0, 0.77::DOUBLE * ((0.5::DOUBLE * a + 0.35::DOUBLE * b + 0.1::DOUBLE * l) / used) + (0.1::DOUBLE * support + 0.08::DOUBLE * cover) + 0.05::DOUBLE * (a * b))")} AS score FROM m WHERE a + b + l > 0)
+        SELECT question_id, event_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, start_seconds, event_id) AS INT) AS seed_rank FROM s QUALIFY seed_rank <= 20""",
+)
+def seeds_of_hot_recording(spark, sf_dir):
+    """Customers ask about events of a recording; one recording holds a third of both and is cut into many blocks."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    rows = spark.sql(_SEED_EVENTS, events=table(spark, sf_dir, "events"))
+    asked = spark.sql(_SEED_QUESTIONS, customer=table(spark, sf_dir, "customer"))
+    rows = rows.select(
+        "video_id", "event_id", "start_seconds", one("p").alias("predicates"), one("c").alias("concepts"), none.alias("attribute_values"), one("t").alias("tokens"),
+        F.col("support").alias("structural_support_score"), F.col("cover").alias("representative_action_coverage"), F.col("cover").alias("representative_entity_coverage"),
+    )
+    weights = lambda c, w: F.transform(one(c), lambda _: F.lit(w))
+    asked = asked.select(
+        "video_id", "question_id", one("p").alias("query_predicates"), weights("p", 1.5).alias("predicate_weights"), one("c").alias("query_concepts"), weights("c", 1.25).alias("concept_weights"),
+        none.alias("query_attributes"), one("t").alias("query_tokens"),
+    )
+    return graphquery.seed_events(asked, rows, 20, right_rows=200).select("question_id", "event_id", "seed_rank")
